@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from framequery.llm import exact_dedup
+from framequery.llm import exact_dedup, line_dedup, mixing, quality_rules
 
-MODULES = [exact_dedup]
+MODULES = [exact_dedup, quality_rules, line_dedup, mixing]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
