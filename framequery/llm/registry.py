@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from framequery.llm import exact_dedup, line_dedup, mixing, pieces, quality_rules, token_files
+from framequery.llm import exact_dedup, line_dedup, mixing, pieces, quality_rules, token_files, toxicity
 
-MODULES = [exact_dedup, quality_rules, line_dedup, token_files, pieces, mixing]
+MODULES = [exact_dedup, quality_rules, toxicity, line_dedup, token_files, pieces, mixing]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
