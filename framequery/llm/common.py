@@ -62,14 +62,14 @@ def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
     """Join rows to one row per key without sending a hot key's rows to one task.
 
     A key is hot when its ``size`` is over total / MAX_HOT: at most MAX_HOT keys can be, so their rows are
-    broadcast; the rest meet in an ordinary shuffle join, whose groups are small.
+    broadcast; the rest meet in a merge join at every size, whose groups are small.
     """
     bar = max(1000, -(-total // MAX_HOT))
     hot = groups.where(F.col(size) > bar)
     cold = groups.where(F.col(size) <= bar)
     by_hot = rows.join(F.broadcast(hot), key, "inner")
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return by_hot.unionByName(rest.join(cold, key, how), allowMissingColumns=True)
+    return by_hot.unionByName(rest.join(cold.hint("merge"), key, how), allowMissingColumns=True)
 
 
 def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, parts: int | None = None) -> DataFrame:

@@ -11,50 +11,18 @@ the input are not looked at, so their names cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framequery.llm.bloom import MAX_BITS, filter_bits, tested
 from framequery.llm.common import hot_join, normal_text, written
 
-BLOCK = 1 << 15  # bits of one bitmap_construct_agg value
-PROBES = 2
-#: 2 ** 29 bits are 64 MB a probe: the greatest broadcast, whatever the input. Beyond some 10 ** 8 rows the filters
-#: fill up and let more unique digests through to the shuffle, which stays correct and at most 40 bytes a document.
-MAX_BITS = 1 << 29
-
-
-def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
-    return min(max_bits, max(BLOCK, 1 << (16 * max(rows, 1) - 1).bit_length()))
-
-
-def _bit(probe: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.col("sha"), F.lit(probe)), F.lit(bits))
-
-
-def repeat_bits(digests: DataFrame, probe: int, bits: int) -> DataFrame:
-    """(block, map): the bits that two rows or more hit. Counts are combined before the shuffle."""
-    hit = digests.groupBy(_bit(probe, bits).alias("bit")).count().where("count > 1")
-    return hit.groupBy(F.floor(F.col("bit") / BLOCK).alias(f"block{probe}")).agg(F.bitmap_construct_agg(F.col("bit") % BLOCK).alias(f"map{probe}"))
-
-
-def maybe_repeated(digests: DataFrame, bits: int) -> DataFrame:
-    """Adds ``again``: false only if no other row has this digest."""
-    df = digests
-    again = F.lit(True)
-    for probe in range(PROBES):
-        bit = _bit(probe, bits)
-        df = df.withColumn(f"block{probe}", F.floor(bit / BLOCK)).join(F.broadcast(repeat_bits(digests, probe, bits)), f"block{probe}", "left")
-        at = bit % BLOCK
-        byte = F.conv(F.hex(F.substring(F.col(f"map{probe}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        again = again & (F.col(f"map{probe}").isNotNull() & (byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0))
-    return df.select("doc_id", "sha", F.coalesce(again, F.lit(False)).alias("again"))
-
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = written(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normal_text(text_col), 256)).alias("sha")), "digests")
     n = digests.count()
-    marked = maybe_repeated(digests, filter_bits(n, max_bits))
+    marked = tested(digests, "sha", digests, filter_bits(n, max_bits), at_least=2, out="again")
     single = marked.where(~F.col("again")).select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     suspects = marked.where("again").select("doc_id", "sha")
     groups = suspects.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -4,7 +4,8 @@ Each line is hashed; a rolling hash over the last two line hashes ends a chunk w
 Boundaries depend on two lines only, so equal passages are cut alike wherever they stand. A chunk of two lines or
 more whose bytes occur again, anywhere in the corpus, is removed from all places but the first (smallest doc_id,
 then place in the document). Candidates come from a repeat filter over 64-bit chunk hashes (a broadcast of fixed
-greatest size), so the text of chunks that occur once is never shuffled; equality is decided on the bytes.
+greatest size), so the text of chunks that occur once is never shuffled; equality is decided on the bytes. A second
+such filter keeps documents that lose nothing out of the last shuffle.
 
 Defined cases: null text stays null and has no line; an empty text is one empty line; single-line chunks always stay;
 rows with a null id are left as they are; rows with the same id are one document, and lose the same chunks; an empty
@@ -16,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framequery.llm.bloom import MAX_BITS, filter_bits, tested
 from framequery.llm.common import hot_join, written
-from framequery.llm.exact_dedup import BLOCK, MAX_BITS, PROBES, _bit, filter_bits, repeat_bits
 
 EVERY = 3
 
@@ -45,33 +46,32 @@ def _exploded(docs: DataFrame, every: int, id_col: str, text_col: str) -> DataFr
 
 def repeated_chunks(docs: DataFrame, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, k, h): the chunks to remove, one row each."""
-    rows = _exploded(docs, every, id_col, text_col).withColumn("sha", F.xxhash64("text"))
-    hashes = written(rows.select("sha"), "chunks")  # 8 bytes a chunk: counted twice, and so written once
+    rows = _exploded(docs, every, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    hashes = written(rows.select("h"), "hashes")  # 8 bytes a chunk
     total = hashes.count()
-    bits, again, df = filter_bits(total, max_bits), F.lit(True), rows
-    for probe in range(PROBES):
-        bit = _bit(probe, bits)
-        at = bit % BLOCK
-        byte = F.conv(F.hex(F.substring(F.col(f"map{probe}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        df = df.withColumn(f"block{probe}", F.floor(bit / BLOCK)).join(F.broadcast(repeat_bits(hashes, probe, bits)), f"block{probe}")
-        again = again & (byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0)
-    seen = df.where(again).select("doc_id", "k", F.col("sha").alias("h"), "text").distinct()
+    maybe = tested(rows, "h", hashes, filter_bits(total, max_bits), at_least=2)
+    seen = written(maybe.where("maybe").drop("maybe"), "chunks")  # the chunks that may occur again, with their bytes
     place = F.struct("doc_id", "k")
     groups = seen.groupBy("h").agg(F.min(place).alias("first"), F.min_by("text", place).alias("first_text"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = hot_join(seen, groups, "h", "size", total)
-    same = met.where((F.col("text") == F.col("first_text")) & (F.struct("doc_id", "k") > F.col("first"))).select("doc_id", "k", "h")
+    late = F.struct("doc_id", "k") > F.col("first")
+    decided = met.withColumn("same", F.col("text") == F.col("first_text")).where(~F.col("same") | late)
+    decided = written(decided.select("doc_id", "k", "h", "same", F.when(~F.col("same"), F.col("text")).alias("text")), "repeats")
     # chunks that only share the hash with the first: grouped by their bytes
-    other = met.where(F.col("text") != F.col("first_text")).select("doc_id", "k", "h", "text")
+    other = decided.where(~F.col("same")).drop("same")
     firsts = other.groupBy("text").agg(F.min(place).alias("first"))
-    late = other.join(firsts, "text").where(F.struct("doc_id", "k") > F.col("first")).select("doc_id", "k", "h")
-    return same.unionByName(late)
+    return decided.where("same").select("doc_id", "k", "h").unionByName(other.join(firsts, "text").where(late).select("doc_id", "k", "h"))
 
 
 def line_dedup(docs: DataFrame, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated chunks taken out of the text, and __n_lines, __n_removed added."""
     gone = repeated_chunks(docs, every, id_col, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("k", "h")).alias("__gone")).withColumnRenamed("doc_id", "__id")
-    df = docs.join(gone, F.col(id_col) == F.col("__id"), "left").drop("__id")
-    hit, clean = df.where(F.col("__gone").isNotNull()), df.where(F.col("__gone").isNull()).drop("__gone")
+    gone = written(gone, "gone")
+    # only documents that may lose a chunk are shuffled to meet the list of their chunks
+    split = tested(docs.withColumn("__id", F.col(id_col)), "__id", gone, filter_bits(gone.count()), out="__maybe")
+    df = split.where("__maybe").drop("__maybe").join(gone.hint("merge"), "__id", "left").drop("__id")
+    hit = df.where(F.col("__gone").isNotNull())
+    clean = df.where(F.col("__gone").isNull()).drop("__gone").unionByName(split.where(~F.col("__maybe")).drop("__maybe", "__id"))
     cut = chunked(hit, every, text_col)
     left = F.filter("__chunks", lambda c: ~F.array_contains(F.col("__gone"), F.struct(c["k"].alias("k"), F.xxhash64(c["text"]).alias("h"))))
     cut = cut.withColumn("__left", left)
