@@ -19,54 +19,119 @@ any order among themselves; an empty table gives an empty manifest.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framequery.llm.bpe import LONGEST, Memo, Merges, by_length, grouped
 from framequery.llm.common import new_path, written
 
 MAGIC = b"FQTOKEN1"
 NO_ID = -(1 << 63)
 END_ID = 1
-#: Words whose ids a worker remembers; then it starts afresh.
-MEMO_WORDS = 200_000
+#: Bytes of text whose words are learned together.
+CHARS = 4_000_000
+#: Words whose ids a worker remembers, in each of two generations.
+MEMO_WORDS = 250_000
+#: The character that stands for each byte in byte-level vocabularies.
+_KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_MOVED = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
+BYTE_CHARS = [chr(_MOVED.get(b, b)) for b in range(256)]
 MANIFEST = "part int, stem string, n_docs long, n_tokens long"
 
 
-class WordIds(dict):
-    """ASCII-separated word -> its ids as little-endian bytes. The tokenizer drops white space and never joins over
-    it, so a text's ids are those of its words; misses are encoded in batches."""
+class WordIds:
+    """A text's ids as little-endian bytes, word by word.
+
+    The tokenizer (lower case, white space dropped, no joining over it) gives the same ids for a text as for its
+    words split at ASCII white space. Words of letters and printable ASCII are merged here, many at once; words with
+    anything else (other scripts' signs, control characters, special tokens, a capital sigma) go to the library.
+    """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join([self[w] for w in words])
-        except KeyError:
-            missing = list(set(words).difference(self))
-            if len(self) + len(missing) > MEMO_WORDS:
-                self.clear()
-                missing = list(set(words))
-            for at in range(0, len(missing), 10_000):
-                part = missing[at : at + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                    self[w] = np.asarray(e.ids, self.dtype).tobytes()
-            return b"".join([self[w] for w in words])
+        self.tokenizer, self.dtype, self.memo = Tokenizer.from_file(path), dtype, Memo(MEMO_WORDS)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        vocabulary, merges = model["model"]["vocab"], model["model"]["merges"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        self.merges = Merges({(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))})
+        end = model["model"]["end_of_word_suffix"]
+        self.inner = np.array([vocabulary[c] for c in BYTE_CHARS], np.int32)
+        self.last = np.array([vocabulary[c + end] for c in BYTE_CHARS], np.int32)
+        self.plain = regex.compile(r"[\x21-\x7E\p{L}]+")
+        self.units = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+    def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text; words are learned for CHARS bytes of texts at a time."""
+        for part in grouped(texts, CHARS):
+            split = [(t or b"").split() for t in part]
+            self.learn(split)
+            get = self.memo.__getitem__
+            for words in split:
+                yield b"".join(map(get, words))
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        missing = self.memo.missing(texts)
+        owner: list[int] = []
+        units: list[bytes] = []
+        slow: list[int] = []
+        for i, w in enumerate(missing):
+            s = w.decode("utf-8", "replace")
+            if not self.plain.fullmatch(s) or "<|" in s or "\u03a3" in s:
+                slow.append(i)
+                continue
+            if not s.isascii():
+                s = unicodedata.normalize("NFC", s)
+            s = s.lower()
+            found = [s.encode()] if s.isalpha() else [u.encode() for u in self.units.findall(s)]
+            if max(map(len, found)) > LONGEST:
+                slow.append(i)
+                continue
+            units += found
+            owner += [i] * len(found)
+        out = [b""] * len(missing)
+        if units:
+            done = self.merge(units)
+            for i, ids in zip(owner, done, strict=True):
+                out[i] += ids
+        for at in range(0, len(slow), 1000):
+            part = slow[at : at + 1000]
+            for i, e in zip(part, self.tokenizer.encode_batch([missing[i].decode("utf-8", "replace") for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.asarray(e.ids, self.dtype).tobytes()
+        self.memo.update(zip(missing, out, strict=True))
+
+    def merge(self, units: list[bytes]) -> list[bytes]:
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        out: list[bytes] = [b""] * len(units)
+        for rows in by_length(lengths):
+            own, width = lengths[rows], int(lengths[rows].max())
+            raw = np.frombuffer(b"".join([units[i].ljust(width, b"\0") for i in rows]), np.uint8).reshape(-1, width)
+            ids = self.inner[raw]
+            at = np.arange(len(rows))
+            ids[at, own - 1] = self.last[raw[at, own - 1]]
+            ids[np.arange(width) >= own[:, None]] = -1
+            ids, size = self.merges.encode(ids, own)
+            packed, item = ids.astype(self.dtype), np.dtype(self.dtype).itemsize
+            flat, step = packed.tobytes(), width * item
+            for k, (i, n) in enumerate(zip(rows.tolist(), size.tolist(), strict=True)):
+                out[i] = flat[k * step : k * step + n * item]
+        return out
 
 
 _MEMOS: dict[str, WordIds] = {}
@@ -125,8 +190,8 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "do
         def write(out) -> None:
             for b in batches:
                 ids.extend(NO_ID if x is None else x for x in b.column(0).to_pylist())
-                for t in b.column(1):
-                    data = memo.encode(t.as_py() or b"") + end
+                for data in memo.encode(t.as_py() for t in b.column(1)):
+                    data += end
                     lengths.append(len(data) // item)
                     out.write(data)
 
