@@ -80,14 +80,14 @@ class Memo(dict):
     def missing(self, texts: list[list]) -> list:
         """The distinct words of the texts that are not known; those of the old generation are taken over."""
         words = set().union(*texts)
-        new = words.difference(self)
+        new = {w for w in words if w not in self}
         if len(self) + len(new) > self.limit:
             self.old = dict(self)
             self.clear()
             new = words
-        held = new.intersection(self.old)
-        self.update({w: self.old[w] for w in held})
-        return list(new - held)
+        held = {w: self.old[w] for w in new if w in self.old}
+        self.update(held)
+        return [w for w in new if w not in held]
 
 
 def grouped(texts: Iterable, most: int) -> Iterator[list]:
