@@ -45,7 +45,7 @@ END_ID = 1
 #: Bytes of text whose words are learned together.
 CHARS = 4_000_000
 #: Words whose ids a worker remembers, in each of two generations.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 500_000
 #: The character that stands for each byte in byte-level vocabularies.
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _MOVED = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
@@ -87,29 +87,32 @@ class WordIds:
                 yield b"".join(map(get, words))
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        missing = self.memo.missing(texts)
-        owner: list[int] = []
-        units: list[bytes] = []
+        memo, missing = self.memo, self.memo.missing(texts)
+        parts: list[tuple[int, list[bytes]]] = []
+        units: dict[bytes, bytes] = {}  # each once; those that are known words are not merged again
         slow: list[int] = []
+        plain, split = self.plain.fullmatch, self.units.findall
         for i, w in enumerate(missing):
             s = w.decode("utf-8", "replace")
-            if not self.plain.fullmatch(s) or "<|" in s or "\u03a3" in s:
+            if not plain(s) or "<|" in s or "\u03a3" in s:
                 slow.append(i)
                 continue
             if not s.isascii():
                 s = unicodedata.normalize("NFC", s)
             s = s.lower()
-            found = [s.encode()] if s.isalpha() else [u.encode() for u in self.units.findall(s)]
+            found = [s.encode()] if s.isalpha() else [u.encode() for u in split(s)]
             if max(map(len, found)) > LONGEST:
                 slow.append(i)
                 continue
-            units += found
-            owner += [i] * len(found)
+            parts.append((i, found))
+            for u in found:
+                if u not in units:
+                    units[u] = memo.get(u, b"")
+        new = [u for u, ids in units.items() if not ids]
+        units.update(zip(new, self.merge(new) if new else (), strict=True))
         out = [b""] * len(missing)
-        if units:
-            done = self.merge(units)
-            for i, ids in zip(owner, done, strict=True):
-                out[i] += ids
+        for i, found in parts:
+            out[i] = units[found[0]] if len(found) == 1 else b"".join([units[u] for u in found])
         for at in range(0, len(slow), 1000):
             part = slow[at : at + 1000]
             for i, e in zip(part, self.tokenizer.encode_batch([missing[i].decode("utf-8", "replace") for i in part], add_special_tokens=False), strict=True):
