@@ -312,6 +312,22 @@ def fitted(docs: DataFrame, labels: DataFrame, train: tuple[int, int] = (TRAIN_T
     return pickle.loads(found[0]["machine"]) if found else fit([])
 
 
+def best_margins(texts: pa.Array, m: Machine, memo: dict[str, float]) -> np.ndarray:
+    """The highest margin of each text's tokens."""
+    best = np.full(len(texts), EMPTY)
+    for row, text in enumerate(texts):
+        found = set(tokens(text.as_py() or ""))
+        new = [w for w in found if w not in memo]
+        if new:
+            if len(memo) + len(new) > MEMO_WORDS:
+                memo.clear()
+                new = list(found)
+            memo.update(zip(new, m.token_margins(new).tolist(), strict=True))
+        if found:
+            best[row] = max(map(memo.__getitem__, found))
+    return best
+
+
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted and ``margin`` of every whole text."""
     held = docs.sparkSession.sparkContext.broadcast(machine)  # CLASSES ** 3 floats: 128 KB, whatever the input
@@ -320,17 +336,7 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = held.value, {}
         for b in batches:
-            best = np.full(b.num_rows, EMPTY)
-            for row, text in enumerate(b.column(1)):
-                found = set(tokens(text.as_py() or ""))
-                new = [w for w in found if w not in memo]
-                if new:
-                    if len(memo) + len(new) > MEMO_WORDS:
-                        memo.clear()
-                        new = list(found)
-                    memo.update(zip(new, m.token_margins(new).tolist(), strict=True))
-                if found:
-                    best[row] = max(map(memo.__getitem__, found))
+            best = best_margins(b.column(1), m, memo)
             s = np.array([m.score(x) for x in best])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(best)], ["doc_id", "score", "predicted", "margin"])
 
@@ -338,6 +344,20 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted", "margin")
 
 
+def clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted toxic, all columns. Rows are tested where they are: nothing moves."""
+    held = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, memo = held.value, {}
+        for b in batches:
+            best = best_margins(b.column(at), m, memo)
+            yield b.filter(pa.array([m.score(x) < 0.5 for x in best], pa.bool_()))
+
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, fitted(docs, labels))
 
