@@ -295,8 +295,8 @@ def _one(t: list[str], i: int) -> tuple[Any, int]:
             out.append(v)
         if i >= len(t):
             raise DtError("unreadable", f"{pairs[x]} is missing")
-        made = {"(": tuple(out), "[": out, "#{": frozenset(out)}.get(x)
-        return (made if x != "{" else {k.name: v for k, v in zip(out[::2], out[1::2], strict=True)}), i + 1
+        make = {"(": tuple, "[": list, "#{": frozenset, "{": lambda o: {k.name: v for k, v in zip(o[::2], o[1::2], strict=True)}}
+        return make[x](out), i + 1
     if x.startswith('"'):
         return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), x[1:-1]), i + 1
     if x.startswith(":"):

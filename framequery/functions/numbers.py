@@ -47,4 +47,7 @@ def arsinh(x: Column) -> Column:
 def epoch_ms(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("long") * 86_400_000
+    if isinstance(kind, T.TimestampNTZType):  # a local time as it reads, whatever the session's time zone
+        day = F.unix_date(c.cast("date")).cast("long") * 86_400_000
+        return day + F.hour(c) * 3_600_000 + F.minute(c) * 60_000 + F.floor(F.date_part(F.lit("SECOND"), c) * 1000)
     return F.unix_millis(c.cast("timestamp"))

@@ -20,6 +20,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+@dataclass(frozen=True)
+class Order:
+    col: str
+    descending: bool = False
+
+
+def order_columns(orders: list[Order], backwards: bool = False) -> list[Column]:
+    """Missing values come first going up, last going down."""
+    return [quoted(o.col).desc_nulls_last() if o.descending != backwards else quoted(o.col).asc_nulls_first() for o in orders]
+
+
 @dataclass
 class Scope:
     """Where an expression stands. ``mode``: row (whole-table aggregates), group (inside groupBy.agg), window (by given,
@@ -29,6 +40,7 @@ class Scope:
     mode: str = "row"
     by: list[str] = field(default_factory=list)
     order: list[Column] = field(default_factory=list)
+    orders: list[Order] = field(default_factory=list)
     place: Column | None = None  # order of rows inside a group, as one sortable value
     frame: object = None
     names: dict[str, str] = field(default_factory=dict)  # for expressions on a joined table: name there -> name here
@@ -204,6 +216,10 @@ class Lower:
         if self.s.mode == "window":
             f = F.first if name == "first-val" else F.last
             return f(x).over(self.s.rows.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        if self.s.mode == "row":  # the first row either way round: a top-1, not a sort of the table
+            back = name == "last-val"
+            rid = quoted(RID).desc() if back else quoted(RID).asc()
+            return self.s.df.orderBy(*order_columns(self.s.orders, back), rid).select(x.alias("v")).limit(1).scalar()
         if self.s.place is None:
             raise DtError("within-order-invalid", f"{name} needs an order of rows")
         return self._over((F.min_by if name == "first-val" else F.max_by)(x, self.s.place))

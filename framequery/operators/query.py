@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framequery.errors import DtError, unknown_columns
-from framequery.expr import Col, Expr, Win, Xbar, columns_of, expression, has_window, rewrite, walk
+from framequery.expr import Col, Expr, Op, Win, Xbar, columns_of, expression, has_window, rewrite, walk
 from framequery.expr import xbar as xbar_node
 from framequery.functions import numbers as N
-from framequery.lower import RID, Lower, Scope, bins, quoted, shares, window_forbidden, xbar_column
+from framequery.lower import RID, Lower, Order, Scope, bins, order_columns, quoted, shares, window_forbidden, xbar_column
 
 log = logging.getLogger("framequery")
 _SAID: set[str] = set()
@@ -40,12 +40,6 @@ def reset_notes() -> None:
 
 # -- markers
 
-@dataclass(frozen=True)
-class Order:
-    col: str
-    descending: bool = False
-
-
 def asc(name: str) -> Order:
     return Order(name)
 
@@ -161,10 +155,6 @@ def order_specs(specs: list, df: DataFrame, code: str = "invalid-order-spec") ->
     return out
 
 
-def order_columns(orders: list[Order], backwards: bool = False) -> list[Column]:
-    return [quoted(o.col).desc_nulls_last() if o.descending != backwards else quoted(o.col).asc_nulls_first() for o in orders]
-
-
 # -- steps
 
 def _udf(f: Callable, kind: str, df: DataFrame) -> Column:
@@ -176,12 +166,19 @@ def _where(df: DataFrame, where: Any) -> DataFrame:
         return df.filter(_udf(lambda r: bool(where(r)), "boolean", df))
     n = expression(where, elementwise=True)
     window_forbidden(n, "where")
-    lower = Lower(Scope(df))
+    held = RID in df.columns or not order_sensitive(n)
+    own = df if held else df.withColumn(RID, F.monotonically_increasing_id())
+    lower = Lower(Scope(own))
     lower.check(n, "where")
-    return df.filter(lower.predicate(n))
+    out = own.filter(lower.predicate(n))
+    return out if held else out.drop(RID)
 
 
-def _staged_ema(df: DataFrame, n: Expr, by: list[str], order: list[Column], made: list[str]) -> tuple[DataFrame, Expr]:
+def order_sensitive(n: Expr) -> bool:
+    return any(isinstance(x, Op) and x.name in ("first-val", "last-val") for x in walk(n))
+
+
+def _staged_ema(df: DataFrame, n: Expr, by: list[str], orders: list[Order], made: list[str]) -> tuple[DataFrame, Expr]:
     """Averages that refer to themselves become columns first: their recursion is no window frame."""
     for w in [x for x in walk(n) if isinstance(x, Win) and x.name == "ema"]:
         opts = dict(w.opts)
@@ -191,8 +188,8 @@ def _staged_ema(df: DataFrame, n: Expr, by: list[str], order: list[Column], made
         alpha = p if "alpha" in opts or ("period" not in opts and p < 1) else 2 / (1 + p)
         source, name = f"__in{len(made)}", f"__ema{len(made)}"
         made += [source, name]
-        df = df.withColumn(source, N.no_nan(Lower(Scope(df, "window" if by else "row", by, order)).column(w.args[0]).cast("double")))
-        df = _ema(df, source, name, float(alpha), by, order)
+        df = df.withColumn(source, N.no_nan(Lower(Scope(df, "window" if by else "row", by, order_columns(orders), orders=orders)).column(w.args[0]).cast("double")))
+        df = _ema(df, source, name, float(alpha), by, order_columns(orders))
         n = rewrite(n, lambda x, w=w, name=name: Col(name) if x == w else x)
     return df, n
 
@@ -202,19 +199,15 @@ def _ema(df: DataFrame, source: str, name: str, alpha: float, by: list[str], ord
     run in the memory of a batch."""
     import pyarrow as pa
 
-    keys = by or ["__all"]
-    base = df if by else df.withColumn("__all", F.lit(1))
-    base = base.withColumn("__group", F.xxhash64(*map(quoted, keys))) if by else base.withColumn("__group", F.lit(0).cast("long"))
-    rows = base.repartition(*map(quoted, keys)) if by else base.coalesce(1)
-    rows = rows.sortWithinPartitions(*map(quoted, keys), *order, quoted(RID))
-    rows = rows.withColumn("__start", F.lit(False))
-    same = [rows.columns.index(k) for k in keys]
+    rows = df.repartition(*map(quoted, by)) if by else df.coalesce(1)
+    rows = rows.sortWithinPartitions(*map(quoted, by), *order, quoted(RID))
+    same = [rows.columns.index(k) for k in by]
     at = rows.columns.index(source)
 
     def run(batches):
         last, value = None, None
         for b in batches:
-            ks = list(zip(*(b.column(i).to_pylist() for i in same), strict=True))
+            ks = list(zip(*(b.column(i).to_pylist() for i in same), strict=True)) if same else [()] * b.num_rows
             out = []
             for k, x in zip(ks, b.column(at).to_pylist(), strict=True):
                 if k != last:
@@ -224,11 +217,10 @@ def _ema(df: DataFrame, source: str, name: str, alpha: float, by: list[str], ord
                 out.append(value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], schema=b.schema.append(pa.field(name, pa.float64())))
 
-    done = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
-    return done.drop("__group", "__start", "__all")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def _derive(df: DataFrame, pairs: list[tuple[str, Any]], by: list[str], order: list[Column]) -> DataFrame:
+def _derive(df: DataFrame, pairs: list[tuple[str, Any]], by: list[str], orders: list[Order]) -> DataFrame:
     """One simultaneous step."""
     made: list[str] = []
     new = {}
@@ -238,12 +230,12 @@ def _derive(df: DataFrame, pairs: list[tuple[str, Any]], by: list[str], order: l
             continue
         n = expression(x)
         Lower(Scope(df)).check(n, f"set {name}")
-        df, n = _staged_ema(df, n, by, order, made)
-        new[name] = Lower(Scope(df, "window" if by else "row", by, order)).column(n)
+        df, n = _staged_ema(df, n, by, orders, made)
+        new[name] = Lower(Scope(df, "window" if by else "row", by, order_columns(orders), orders=orders)).column(n)
     return df.withColumns(new).drop(*made)
 
 
-def _set(df: DataFrame, derivations: Any, by: list[str], order: list[Column]) -> DataFrame:
+def _set(df: DataFrame, derivations: Any, by: list[str], orders: list[Order]) -> DataFrame:
     if isinstance(derivations, dict):
         nodes = {k: expression(v) for k, v in derivations.items() if isinstance(v, (Expr, str))}
         for name, n in nodes.items():
@@ -251,9 +243,9 @@ def _set(df: DataFrame, derivations: Any, by: list[str], order: list[Column]) ->
             crossed = used or [c for c in columns_of(n) if c in derivations and c != name]
             if crossed:
                 raise DtError("map-set-cross-reference", f"{name} refers to {', '.join(crossed)}, derived in the same step; use a list of pairs", column=name, refers=crossed)
-        return _derive(df, list(derivations.items()), by, order)
+        return _derive(df, list(derivations.items()), by, orders)
     for name, x in derivations:
-        df = _derive(df, [(name, x)], by, order)
+        df = _derive(df, [(name, x)], by, orders)
     return df
 
 
@@ -314,7 +306,7 @@ def _agg(df: DataFrame, by: Any, aggs: dict, orders: list[Order]) -> DataFrame:
     plain = {k: v for k, v in aggs.items() if callable(v) and not isinstance(v, Expr)}
     nodes = {k: expression(v) for k, v in aggs.items() if k not in plain}
     place = None
-    if any(f"{x}".startswith(("first-val", "last-val")) for n in nodes.values() for x in (getattr(y, "name", "") for y in walk(n))):
+    if any(order_sensitive(n) for n in nodes.values()):
         if any(o.descending for o in orders):
             rank = F.row_number().over(W.partitionBy(*map(quoted, names)).orderBy(*order_columns(orders), quoted(RID)))
             df, place = df.withColumn("__place", rank), F.col("__place")
@@ -421,11 +413,12 @@ def dt(df: DataFrame, *, where: Any = None, set: Any = None, agg: dict | None =
         by = [by]
     had = RID in df.columns and grouping is None
     nodes = [expression(x) for x in ((set.values() if isinstance(set, dict) else [p[1] for p in set]) if set else []) if isinstance(x, (Expr, str, list, tuple))]
-    ordered = [n for n in [*nodes, *(expression(x) for x in (agg or {}).values() if isinstance(x, (Expr, str)))] if has_window(n) or any(getattr(x, "name", None) in ("first-val", "last-val") for x in walk(n))]
-    if RID not in df.columns and (ordered or (take is not None and take < 0) or within_order is not None):
-        df = df.withColumn(RID, F.monotonically_increasing_id())
+    ordered = [n for n in [*nodes, *(expression(x) for x in (agg or {}).values() if isinstance(x, (Expr, str)))] if has_window(n) or order_sensitive(n)]
     if where is not None:
         df = _where(df, where)
+    if RID not in df.columns and (ordered or (take is not None and take < 0) or within_order is not None):
+        # after the filter, which keeps the order: an id below it would hold the filter back from the scan
+        df = df.withColumn(RID, F.monotonically_increasing_id())
     if set is not None:
         orders = order_specs(within_order or [], df, "within-order-invalid")
         if ordered and not orders:
@@ -441,7 +434,7 @@ def dt(df: DataFrame, *, where: Any = None, set: Any = None, agg: dict | None =
             df = df.withColumnsRenamed({n: f"__key_{n}" for n in added}).withColumnsRenamed({k: c for c, k in kept.items()})
             names = [f"__key_{n}" if n in added else n for n in names]
         derived = [k for k in (set if isinstance(set, dict) else dict(set))]
-        df = _set(df, set, names, order_columns(orders))
+        df = _set(df, set, names, orders)
         df = df.select(*[quoted(c) for c in [*before, *[d for d in derived if d not in before]] if c in df.columns])
         if orders and not by:
             df = df.orderBy(*order_columns(orders), quoted(RID))
