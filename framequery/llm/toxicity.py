@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine over a gapped subsequence kernel with Nystroem landmarks.
 
-Kernel of two words: over all three-character subsequences within SPAN characters of each (word ends marked, accents
-folded, digits and signs as classes), the sum of products of decay ** span, divided by the words' own norms. Inserted signs and stretched letters cost a factor, not the match; a run of single characters is
+Kernel of two words: over all three-character subsequences within SPAN characters of each (word ends marked,
+accented letters, digits and signs as classes), the sum of products of decay ** span, divided by the words' own norms. Inserted signs and stretched letters cost a factor, not the match; a run of single characters is
 also read as one word.
 
 Labels are for documents, insults are words of their sentences: training is by multiple instances. Witnesses are the
@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLASSES, SPAN, DECAY = 32, 8, 0.6
-START, END, DIGIT, LETTER, SIGN = 27, 28, 29, 30, 31
+CLASSES, SPAN, DECAY = 40, 8, 0.6
+START, END, DIGIT, LETTER, SIGN, ACCENTED = 27, 28, 29, 30, 31, 32
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 4800
 LANDMARKS, NEGATIVES = 512, 9000
 #: Margins stop there; the margin of no word at all.
@@ -57,7 +57,8 @@ def _class(ch: str) -> int:
         return DIGIT
     if ch.isalpha():
         base = unicodedata.normalize("NFD", ch)[0]
-        return ord(base) - 96 if "a" <= base <= "z" else LETTER
+        # accented letters have eight classes of their own, which keeps those of one language apart
+        return ACCENTED + ord(ch) % (CLASSES - ACCENTED) if "a" <= base <= "z" and base != ch or ch == "\u00df" else LETTER
     return SIGN
 
 
