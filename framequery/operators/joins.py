@@ -71,7 +71,7 @@ def join_report(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
     """An action: compares the distinct keys of both sides in one aggregation, without a join."""
     side = lambda df, keys, l, r: df.select(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(l).alias("l"), F.lit(r).alias("r"))
     both = side(left, left_keys, 1, 0).union(side(right, right_keys, 0, 1)).groupBy(*[f"k{i}" for i in range(len(left_keys))]).agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    found = both.agg(F.count_if("l + r = 2"), F.count_if("l > r"), F.count_if("l < r")).first()
+    found = both.agg(*[F.count_if(F.expr(x)) for x in ("l + r = 2", "l > r", "l < r")]).first()
     return Report(*found)
 
 
