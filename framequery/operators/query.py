@@ -23,6 +23,7 @@ from framequery.expr import Col, Expr, Op, Win, Xbar, columns_of, expression, ha
 from framequery.expr import xbar as xbar_node
 from framequery.functions import numbers as N
 from framequery.lower import RID, Lower, Order, Scope, bins, order_columns, quoted, shares, window_forbidden, xbar_column
+from framequery.operators.whole import derive_whole, spreadable
 
 log = logging.getLogger("framequery")
 _SAID: set[str] = set()
@@ -220,10 +221,20 @@ def _ema(df: DataFrame, source: str, name: str, alpha: float, by: list[str], ord
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def _derive(df: DataFrame, pairs: list[tuple[str, Any]], by: list[str], orders: list[Order]) -> DataFrame:
+def _derive(df: DataFrame, pairs: list[tuple[str, Any]], by: list[str], orders: list[Order], spread: bool = False) -> DataFrame:
     """One simultaneous step."""
     made: list[str] = []
     new = {}
+    if spread and not by:
+        nodes = {name: expression(x) for name, x in pairs if not callable(x) or isinstance(x, Expr)}
+        windows = {k: n for k, n in nodes.items() if has_window(n)}
+        if windows and spreadable(list(windows.values())):
+            for name, n in windows.items():
+                Lower(Scope(df)).check(n, f"set {name}")
+            kept = {k: f"__new_{k}" for k in windows}
+            df = derive_whole(df, {kept[k]: n for k, n in windows.items()}, orders)
+            made += kept.values()
+            pairs = [(k, Col(kept[k]) if k in kept else x) for k, x in pairs]
     for name, x in pairs:
         if callable(x) and not isinstance(x, Expr):
             new[name] = _udf(x, x.kind if isinstance(x, Typed) else "double", df)
@@ -235,7 +246,7 @@ def _derive(df: DataFrame, pairs: list[tuple[str, Any]], by: list[str], orders:
     return df.withColumns(new).drop(*made)
 
 
-def _set(df: DataFrame, derivations: Any, by: list[str], orders: list[Order]) -> DataFrame:
+def _set(df: DataFrame, derivations: Any, by: list[str], orders: list[Order], spread: bool) -> DataFrame:
     if isinstance(derivations, dict):
         nodes = {k: expression(v) for k, v in derivations.items() if isinstance(v, (Expr, str))}
         for name, n in nodes.items():
@@ -243,9 +254,9 @@ def _set(df: DataFrame, derivations: Any, by: list[str], orders: list[Order]) ->
             crossed = used or [c for c in columns_of(n) if c in derivations and c != name]
             if crossed:
                 raise DtError("map-set-cross-reference", f"{name} refers to {', '.join(crossed)}, derived in the same step; use a list of pairs", column=name, refers=crossed)
-        return _derive(df, list(derivations.items()), by, orders)
+        return _derive(df, list(derivations.items()), by, orders, spread)
     for name, x in derivations:
-        df = _derive(df, [(name, x)], by, orders)
+        df = _derive(df, [(name, x)], by, orders, spread)
     return df
 
 
@@ -393,8 +404,9 @@ def _order_take(df: DataFrame, order_by: Any, take: int | None) -> DataFrame:
     return last.orderBy(*order_columns(orders), *[r.asc() for r in rid])
 
 
-def dt(df: DataFrame, *, where: Any = None, set: Any = None, agg: dict | None = None, by: Any = None, within_order: Any = None, select: Any = None, order_by: Any = None, take: int | None = None, grouping: Grouping | None = None, off_heap: bool | None = None) -> DataFrame:  # noqa: A002
-    """One query. ``off_heap`` is accepted for compatibility and has no effect: Spark manages the memory."""
+def dt(df: DataFrame, *, where: Any = None, set: Any = None, agg: dict | None = None, by: Any = None, within_order: Any = None, select: Any = None, order_by: Any = None, take: int | None = None, grouping: Grouping | None = None, off_heap: bool | None = None, spread: bool = False) -> DataFrame:  # noqa: A002
+    """One query. With ``spread``, window functions without ``by`` run over ranges of the table (which are written once)
+    instead of in one task. ``off_heap`` is accepted for compatibility and has no effect: Spark manages the memory."""
     if set is not None and agg is not None:
         raise DtError("set-agg-conflict", "a query derives or aggregates, not both")
     if take is not None and (not isinstance(take, int) or isinstance(take, bool)):
@@ -434,7 +446,7 @@ def dt(df: DataFrame, *, where: Any = None, set: Any = None, agg: dict | None =
             df = df.withColumnsRenamed({n: f"__key_{n}" for n in added}).withColumnsRenamed({k: c for c, k in kept.items()})
             names = [f"__key_{n}" if n in added else n for n in names]
         derived = [k for k in (set if isinstance(set, dict) else dict(set))]
-        df = _set(df, set, names, orders)
+        df = _set(df, set, names, orders, spread)
         df = df.select(*[quoted(c) for c in [*before, *[d for d in derived if d not in before]] if c in df.columns])
         if orders and not by:
             df = df.orderBy(*order_columns(orders), quoted(RID))

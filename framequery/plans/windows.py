@@ -91,6 +91,17 @@ def win_whole_table(spark, d):
     return rounded(dt(table(spark, d, "customer"), within_order=["c_custkey"], set={"cs": "(win/cumsum :c_acctbal)", "before": "(win/lag :c_acctbal 1)"}, select=["c_custkey", "cs", "before"]), cs=2)
 
 
+WHOLE = """SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS cs, lag(o_totalprice, 3) OVER o AS before, lead(o_totalprice, 2) OVER o AS after, round(avg(o_totalprice) OVER (ORDER BY o_orderkey ROWS 6 PRECEDING), 5) AS ma,
+           max(o_totalprice) OVER w AS top, (row_number() OVER o)::INT AS n, round(o_totalprice - lag(o_totalprice) OVER o, 4) AS step FROM orders WINDOW o AS (ORDER BY o_orderkey), w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)"""
+
+
+@query(WHOLE)
+def win_whole_spread(spark, d):
+    """Windows over the whole table, by ranges of it."""
+    new = {"cs": "(win/cumsum :o_totalprice)", "before": "(win/lag :o_totalprice 3)", "after": "(win/lead :o_totalprice 2)", "ma": "(win/mavg :o_totalprice 7)", "top": "(win/cummax :o_totalprice)", "n": "(win/row-number)", "step": "(win/delta :o_totalprice)"}
+    return rounded(dt(table(spark, d, "orders"), within_order=["o_orderkey"], set=new, select=["o_orderkey", *new], spread=True), cs=2, ma=5, step=4)
+
+
 AVERAGES = 40
 
 

@@ -95,3 +95,22 @@ def test_one_shuffle_for_many_windows(spark):
     t = spark.range(100).selectExpr("id % 7 AS g", "id AS i", "cast(id AS double) AS x").repartition(3)
     plan = dt(t, by=["g"], within_order=["i"], set={f"m{n}": f"(win/mavg :x {n})" for n in range(2, 12)})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 400])
+def test_ranges_of_a_whole_table(spark, n):
+    """Spread over ranges, every function gives what one task gives, also where ranges are shorter than its reach."""
+    rng = random.Random(n)
+    rows = [(rng.randrange(50), rng.choice([None, 1.0, 1.0, 2.0, 5.5]), i) for i in range(n)]
+    t = spark.createDataFrame(rows, "t long, x double, i long").coalesce(1)
+    names = ["row-number", "rank :x", "dense-rank :x", "rleid :x", "differ :x", "cumsum :x", "cummin :x", "cummax :x", "cummean :x", "fills :x", "delta :x", "ratio :x", "grr :x", "lag :x 3", "lead :x 2 {:fill 9}", "lag :x 2 {:fill 0}", "mavg :x 5 {:min-periods 4}", "msum :x 3", "mmin :x 4", "mmax :x 2", "mdev :x 6",
+             "scan + :x", "scan max :x", "scan * (+ 0.5 (/ :x 3))", "each-prior - :x", "mavg (win/delta :x) 3", "cumsum (win/lag :x 2)"]
+    new = {f"v{i}": f"(win/{name})" for i, name in enumerate(names)} | {"mixed": "(- (win/cumsum :x) (mn :x))"}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    one = {r["i"]: r for r in dt(t, within_order=["t"], set=new).collect()}
+    two = {r["i"]: r for r in dt(t, within_order=["t"], set=new, spread=True).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert one.keys() == two.keys() and len(one) == n
+    for i in one:
+        for k in new:
+            assert near(one[i][k], two[i][k]), (i, k, new[k])
