@@ -187,6 +187,11 @@ class Lower:
     def _inner(self, n: Expr) -> Column:
         return self.column(n)
 
+    def _number(self, n: Expr) -> Column:
+        """As a double, without NaN; columns have had theirs taken out."""
+        d = self.column(n).cast("double")
+        return d if isinstance(n, Col) else N.no_nan(d)
+
     def _aggregate(self, n: Op) -> Column:
         name = n.name
         if name == "N":
@@ -195,7 +200,7 @@ class Lower:
         d = x.cast("double")
         if name in ("mn", "sm", "sd", "variance"):
             f = {"mn": F.avg, "sm": F.sum, "sd": F.stddev_samp, "variance": F.var_samp}[name]
-            return self._over(f(N.no_nan(d)))
+            return self._over(f(self._number(n.args[0])))
         if name in ("mx", "mi"):
             return self._over((F.max if name == "mx" else F.min)(x))
         if name == "ct":
@@ -256,23 +261,23 @@ class Lower:
         return F.when(present > 0, total if n.name == "sum" else total / present)
 
     def _stat(self, n: Stat) -> Column:
-        x = N.no_nan(self.column(n.args[0]).cast("double"))
+        x = self._number(n.args[0])
         if n.name == "demean":
             return x - self._over(F.avg(x))
         if n.name == "standardize":
-            sd = self._over(F.stddev_samp(x))
-            return F.when(sd != 0, (x - self._over(F.avg(x))) / sd)
+            return F.try_divide(x - self._over(F.avg(x)), self._over(F.stddev_samp(x)))
         p = float(n.args[1].value)
         f = N.finite(x)
-        lo, hi = self._over(F.percentile(f, F.lit(p))), self._over(F.percentile(f, F.lit(1 - p)))
-        return F.when(x.isNotNull(), F.greatest(F.least(x, hi), lo))
+        ends = self._over(F.percentile(f, F.array(F.lit(min(p, 1 - p)), F.lit(max(p, 1 - p)))))
+        # the middle one of the lower end, x and the upper end
+        return F.when(x.isNotNull(), F.coalesce(F.get(F.sort_array(F.concat(ends, F.array(x))), F.lit(1)), x))
 
     def _cut(self, n: Cut) -> Column:
         x = self.column(n.arg)
         ref = N.finite(x)
         if n.within is not None:
             ref = F.when(F.coalesce(self.column(n.within).cast("boolean"), F.lit(False)), ref)
-        return bins(x, self._over(F.percentile(ref, shares(n.n))), n.n)
+        return bins(x, self._over(F.percentile(ref, shares(n.n))), n.n, self.s.mode != "row")
 
     def _xbar(self, n: Xbar) -> Column:
         return xbar_column(self.column(n.arg), self.kind(self.column(n.arg)), n.width, n.unit)
@@ -304,7 +309,7 @@ class Lower:
         if n.name == "row-number":
             return F.row_number().over(rows)
         x = self.column(n.args[0])
-        d = N.no_nan(x.cast("double"))
+        d = self._number(n.args[0])
         if n.name in ("rank", "dense-rank", "rleid", "differ"):
             first = F.row_number().over(rows) == 1
             changed = first | ~x.eqNullSafe(F.lag(x).over(rows))
@@ -362,10 +367,17 @@ def shares(n: int) -> Column:
     return F.array(*[F.lit(i / n) for i in range(1, n)])
 
 
-def bins(x: Column, breaks: Column, n: int) -> Column:
-    """1 + the number of breaks below x: ties go to the lowest bin; no breaks at all mean bin 1."""
-    above = sum((F.coalesce(x > F.get(breaks, F.lit(i)), F.lit(False)).cast("int") for i in range(n - 1)), F.lit(1))
-    return F.when(x.isNotNull(), above)
+def bins(x: Column, breaks: Column, n: int, once: bool) -> Column:
+    """1 + the number of breaks below x: ties go to the lowest bin; no breaks at all mean bin 1.
+
+    Spark computes a window anew for each place that it stands in, so there ``breaks`` stands ``once``; a scalar
+    subquery, which may not stand in a lambda, is computed once anyway.
+    """
+    if once:
+        below = F.size(F.filter(F.coalesce(breaks, F.array().cast("array<double>")), lambda b: b < x))
+    else:
+        below = sum((F.coalesce(x > F.get(breaks, F.lit(i)), F.lit(False)).cast("int") for i in range(n - 1)), F.lit(0))
+    return F.when(x.isNotNull(), below + 1)
 
 
 def xbar_column(x: Column, kind: T.DataType, width: int, unit: str | None) -> Column:

@@ -307,7 +307,7 @@ def _qtile(df: DataFrame, q: Qtile, exact: list[str]) -> DataFrame:
     else:
         one = df.agg(F.struct(F.percentile(N.finite(ref), shares(q.n)).alias("b"), F.count(ref).alias("n")).alias("v")).scalar()
         breaks, present = one["b"], one["n"]
-    return df.withColumn(q.name, F.when(present >= q.n, bins(x, breaks, q.n)).when(x.isNotNull(), F.lit(1)).cast("int"))
+    return df.withColumn(q.name, F.when(present >= q.n, bins(x, breaks, q.n, bool(exact))).when(x.isNotNull(), F.lit(1)).cast("int"))
 
 
 def _agg(df: DataFrame, by: Any, aggs: dict, orders: list[Order]) -> DataFrame:
