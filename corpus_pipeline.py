@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each a function (spark, docs, sf_dir) -> DataFrame.
 
 toxicity      drops the documents that the machine predicts toxic (learned from ``labels``)
-line_dedup    takes multi-line chunks that stand earlier in the corpus out of the texts; documents stay
+line_dedup    takes runs of two lines or more that stand earlier in the corpus out of the texts; documents stay
 near_dedup    keeps one document of each group of near copies (five-word shingles, similarity 0.8)
 mixing        repeats or leaves out documents so that sources come near their target shares
 sentencepiece encodes each text and decodes it again; its rows are the result

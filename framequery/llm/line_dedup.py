@@ -1,20 +1,27 @@
-"""Line dedup by content-defined line chunks (DataFrame functions only).
-
-Each line is hashed; a rolling hash over the last two line hashes ends a chunk wherever it is divisible by ``every``.
-Boundaries depend on two lines only, so equal passages are cut alike wherever they stand. A chunk of two lines or
-more whose bytes occur again, anywhere in the corpus, is removed from all places but the first (smallest doc_id,
-then place in the document). Candidates come from a repeat filter over 64-bit chunk hashes (a broadcast of fixed
-greatest size), so the text of chunks that occur once is never shuffled; equality is decided on the bytes. A second
-such filter keeps documents that lose nothing out of the last shuffle.
-
-Defined cases: null text stays null and has no line; an empty text is one empty line; single-line chunks always stay;
-rows with a null id are left as they are; rows with the same id are one document, and lose the same chunks; an empty
-table gives no rows; only the id and text columns are looked at, all others are carried along.
+"""Line dedup by content-defined line chunks (DataFrame functions only), by two rules of what a chunk is.
+
+``line_dedup`` (the pipeline's stage): each line and the next are a chunk, so chunks overlap, depend on their own lines
+only, and no line is exempt. A chunk whose bytes occur again, anywhere in the corpus, goes from all places but the
+first (smallest doc_id, then place in the document), and a line goes if a chunk it is in goes: of any run of two lines
+or more that stands in an earlier document, nothing is left. A single line that occurs again between other lines stays.
+
+``chunk_dedup`` (``op5_line_dedup``, whose SQL fixes this rule): a rolling hash over the last two line hashes ends a
+chunk wherever it is divisible by ``every``; chunks of two lines or more that occur again are removed, single-line
+chunks always stay. The first chunk in a passage starts after a hit and the last one ends at a hit, so most short
+passages amid other text are missed.
+
+Under both, candidates come from a repeat filter over 64-bit chunk hashes (a broadcast of fixed greatest size), so the
+text of chunks that occur once is never shuffled; equality is decided on the bytes. A second such filter keeps
+documents that lose nothing out of the last shuffle.
+
+Defined cases: null text stays null and has no line; an empty text is one empty line; a text of one line stays; rows
+with a null id are left as they are; rows with the same id are one document, and lose the same chunks; an empty table
+gives no rows; only the id and text columns are looked at, all others are carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequery.llm.bloom import MAX_BITS, filter_bits, tested
@@ -44,9 +51,22 @@ def _exploded(docs: DataFrame, every: int, id_col: str, text_col: str) -> DataFr
     return rows.select("doc_id", F.col("c.k").alias("k"), F.col("c.text").alias("text"))
 
 
-def repeated_chunks(docs: DataFrame, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, k, h): the chunks to remove, one row each."""
-    rows = _exploded(docs, every, id_col, text_col).withColumn("h", F.xxhash64("text"))
+def _pairs(lines: Column) -> Column:
+    """(k, text) of each line and the next; k is the 0-based place of the first."""
+    return F.zip_with(F.transform(lines, lambda x, i: F.struct(i.alias("k"), x.alias("x"))), F.slice(lines, 2, F.size(lines)), lambda a, b: F.struct(a["k"].alias("k"), F.concat_ws("\n", a["x"], b).alias("text")))
+
+
+def _exploded_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, k, text) of the chunks of two lines."""
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("lines")).where(F.size("lines") > 1)
+    # the last line has no next one
+    rows = own.select("doc_id", F.explode(F.slice(_pairs(F.col("lines")), 1, F.size("lines") - 1)).alias("c"))
+    return rows.select("doc_id", F.col("c.k").alias("k"), F.col("c.text").alias("text"))
+
+
+def repeated_chunks(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, k, h): of the chunks (doc_id, k, text) those to remove, one row each."""
+    rows = rows.withColumn("h", F.xxhash64("text"))
     hashes = written(rows.select("h"), "hashes")  # 8 bytes a chunk
     total = hashes.count()
     maybe = tested(rows, "h", hashes, filter_bits(total, max_bits), at_least=2)
@@ -63,28 +83,50 @@ def repeated_chunks(docs: DataFrame, every: int = EVERY, id_col: str = "doc_id",
     return decided.where("same").select("doc_id", "k", "h").unionByName(other.join(firsts, "text").where(late).select("doc_id", "k", "h"))
 
 
-def line_dedup(docs: DataFrame, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated chunks taken out of the text, and __n_lines, __n_removed added."""
-    gone = repeated_chunks(docs, every, id_col, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("k", "h")).alias("__gone")).withColumnRenamed("doc_id", "__id")
+def _met(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs that lose chunks, with __gone, and the others with their counts; gone is (__id, __gone)."""
     gone = written(gone, "gone")
     # only documents that may lose a chunk are shuffled to meet the list of their chunks
     split = tested(docs.withColumn("__id", F.col(id_col)), "__id", gone, filter_bits(gone.count()), out="__maybe")
     df = split.where("__maybe").drop("__maybe").join(gone.hint("merge"), "__id", "left").drop("__id")
-    hit = df.where(F.col("__gone").isNotNull())
     clean = df.where(F.col("__gone").isNull()).drop("__gone").unionByName(split.where(~F.col("__maybe")).drop("__maybe", "__id"))
+    clean = clean.withColumn("__n_lines", F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long")).withColumn("__n_removed", F.lit(0).cast("long"))
+    return df.where(F.col("__gone").isNotNull()), clean
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the lines of repeated pairs of lines, and __n_lines, __n_removed added."""
+    # place and hash as one string: sets of strings are hashed, sets of structs are compared one by one
+    key = lambda k, h: F.concat_ws(":", k.cast("string"), h.cast("string"))
+    gone = repeated_chunks(_exploded_pairs(docs, id_col, text_col)).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(key(F.col("k"), F.col("h"))).alias("__gone"))
+    hit, clean = _met(docs, gone, id_col, text_col)
+    cut = hit.withColumn("__lines", F.split(text_col, "\n"))
+    own = F.transform(F.slice(_pairs(F.col("__lines")), 1, F.greatest(F.size("__lines") - 1, F.lit(0))), lambda c: key(c["k"], F.xxhash64(c["text"])))
+    at = F.transform(F.array_intersect(own, F.col("__gone")), lambda x: F.substring_index(x, ":", 1).cast("int"))
+    cut = cut.withColumn("__at", F.flatten(F.transform(at, lambda i: F.array(i, i + 1))))
+    cut = cut.withColumn("__left", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__at")))
+    cut = cut.withColumn("__n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long")).withColumn("__n_removed", F.coalesce(F.col("__n_lines") - F.size("__left"), F.lit(0)).cast("long"))
+    cut = cut.withColumn(text_col, F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n"))
+    cols = [*docs.columns, "__n_lines", "__n_removed"]
+    return cut.select(*cols).unionByName(clean.select(*cols))
+
+
+def chunk_dedup(docs: DataFrame, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated chunks of the rolling hash taken out of the text, and __n_lines, __n_removed added."""
+    gone = repeated_chunks(_exploded(docs, every, id_col, text_col)).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k", "h")).alias("__gone"))
+    hit, clean = _met(docs, gone, id_col, text_col)
     cut = chunked(hit, every, text_col)
     left = F.filter("__chunks", lambda c: ~F.array_contains(F.col("__gone"), F.struct(c["k"].alias("k"), F.xxhash64(c["text"]).alias("h"))))
     cut = cut.withColumn("__left", left)
     cut = cut.withColumn("__n_removed", (F.col("__n_lines") - F.aggregate("__left", F.lit(0), lambda a, c: a + c["n"])).cast("long")).withColumn(text_col, F.array_join(F.transform("__left", lambda c: c["text"]), "\n"))
     cut = cut.withColumn("__n_lines", F.col("__n_lines").cast("long"))
-    clean = clean.withColumn("__n_lines", F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long")).withColumn("__n_removed", F.lit(0).cast("long"))
     cols = [*docs.columns, "__n_lines", "__n_removed"]
     return cut.select(*cols).unionByName(clean.select(*cols))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    df = line_dedup(docs)
+    df = chunk_dedup(docs)
     return df.select("doc_id", F.when(F.col("text").isNull() & (F.col("__n_removed") == 0), 0).otherwise(F.col("__n_lines")).cast("long").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

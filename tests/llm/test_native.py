@@ -1,6 +1,7 @@
 """The operators of DataFrame functions only: exact dedup, quality rules, line dedup, mixing."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -112,6 +113,45 @@ def test_lines(spark):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def without_pairs(texts):
+    """By hand: a line goes if it and a neighbour stand together earlier."""
+    seen, out = set(), {}
+    for d in sorted(texts):
+        ls = (texts[d] or "").split("\n")
+        gone = set()
+        for i, pair in enumerate(zip(ls, ls[1:])):
+            gone |= {i, i + 1} if pair in seen else set()
+            seen.add(pair)
+        out[d] = None if texts[d] is None else ("\n".join(x for i, x in enumerate(ls) if i not in gone), len(gone))
+    return out
+
+
+def test_passages_amid_other_text(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    passages = [[line() for _ in range(n)] for n in (2, 3, 4, 5) * 10]
+    other = lambda: [line() for _ in range(rng.randrange(1, 4))]
+    rows, own = [], {}
+    for k, p in enumerate(passages):
+        for d in (k, 100 + k):
+            a, b = other(), other()
+            rows.append((d, "\n".join(a + p + b)))
+            own[d] = "\n".join(a + p + b if d < 100 else a + b), len(p) * (d >= 100)
+    got = {r["doc_id"]: (r["text"], r["__n_removed"]) for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert got == own
+
+
+def test_pairs_by_hand(spark):
+    rng = random.Random(6)
+    rows = [(d, "\n".join(rng.choice("abcdef") + str(rng.randrange(5)) for _ in range(rng.randrange(1, 14)))) for d in range(150)]
+    rows += [(200, None), (201, ""), (202, "\n\n\n"), (203, "x\nx\nx"), (204, "x\nx"), (205, "y"), (206, "y")]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    want = without_pairs(dict(rows))
+    for d, text in rows:
+        assert (None if text is None else (got[d]["text"], got[d]["__n_removed"])) == want[d] and got[d]["__n_lines"] == (0 if text is None else text.count("\n") + 1)
+    assert got[200]["text"] is None and got[200]["__n_removed"] == 0
+
+
 def targets(sizes):
     """source -> target, by raising the water step by step."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
