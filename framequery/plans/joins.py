@@ -118,6 +118,13 @@ def join_window_function(spark, d):
     return join(p.filter("event_id % 10 = 0"), v, on=["user_id", "t"], how="window", window=[-2 * HOUR, 2 * HOUR], agg={"n": typed("bigint")(len)})
 
 
+@query(f"""WITH {SIDES} SELECT p.event_id, p.user_id, p.t, p.value, count(v.t) AS n FROM p LEFT JOIN v ON p.user_id = v.user_id AND v.t BETWEEN p.t - {2 * HOUR} AND p.t + {2 * HOUR} GROUP BY ALL""")
+def join_window_function_whole(spark, d):
+    """The same for every purchase: the function is called once a left row."""
+    p, v = sides(spark, d)
+    return join(p, v, on=["user_id", "t"], how="window", window=[-2 * HOUR, 2 * HOUR], agg={"n": typed("bigint")(len)})
+
+
 @query(f"WITH {SIDES} SELECT sum(n)::BIGINT AS pairs, max(n) AS most FROM (SELECT p.event_id, count(v.t) AS n FROM p LEFT JOIN v ON p.user_id = v.user_id AND v.t BETWEEN p.t - {HOUR} AND p.t + {HOUR} GROUP BY 1)")
 def window_matches(spark, d):
     p, v = sides(spark, d)

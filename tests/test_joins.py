@@ -1,12 +1,13 @@
 """Joins against fixed values and brute force."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from helpers import column, make, near
 
 from framequery import DtError, N, asof_index, asof_row_indices, asof_search, index_by, join, join_report, typed, window_row_indices
+from framequery.plans import catalogue
 
 
 def code(f, *a, **k):
@@ -141,3 +142,13 @@ def test_window_brute(spark):
             rows = sorted(float(j) for rk, rt, j in right if rk == k and None not in (rt, t) and t + lo <= rt <= t + hi)
             want = (sum(rows), len(rows), (rows[(len(rows) - 1) // 2] + rows[len(rows) // 2]) / 2, len(rows)) if rows else (None,) * 4
             assert all(near(a, b) for a, b in zip((got[i]["s"], got[i]["n"], got[i]["md"], got[i]["u"]), want, strict=True)) and near(got[i]["py"], sum(rows))
+
+
+def test_window_function_over_every_left_row(spark, tmp_path):
+    rng = random.Random(12)
+    at = [rng.randrange(48 * 60) for _ in range(120)]
+    rows = [(i, rng.randrange(4), datetime(2024, 1, 1) + timedelta(minutes=m), rng.choice(["purchase", "view"]), float(i)) for i, m in enumerate(at)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["n"] for r in catalogue.QUERIES["join_window_function_whole"](spark, str(tmp_path)).collect()}
+    want = {i: sum(k == "view" and v == u and abs(at[j] - at[i]) <= 120 for j, v, _, k, _ in rows) for i, u, _, kind, _ in rows if kind == "purchase"}
+    assert got == want and len(want) > 40 and 0 in want.values()
