@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framequery.llm.bloom import filter_bits, tested
-from framequery.llm.bpe import grouped
+from framequery.llm.memo import grouped
 from framequery.llm.common import written
 
 CHUNK_BYTES = 1 << 20

@@ -22,9 +22,9 @@ from __future__ import annotations
 import json
 import os
 import struct
-import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
@@ -36,105 +36,138 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framequery.llm.bpe import LONGEST, Memo, Merges, by_length, grouped
 from framequery.llm.common import new_path, written
+from framequery.llm.memo import Memo, grouped
 
 MAGIC = b"FQTOKEN1"
 NO_ID = -(1 << 63)
 END_ID = 1
-#: Bytes of text whose words are learned together.
+#: Bytes of text that are split into units together.
 CHARS = 4_000_000
-#: Words whose ids a worker remembers, in each of two generations.
-MEMO_WORDS = 500_000
+#: Bytes of units and their ids that a worker remembers, in each of two generations.
+MEMO_BYTES = 32_000_000
 #: The character that stands for each byte in byte-level vocabularies.
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _MOVED = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
-BYTE_CHARS = [chr(_MOVED.get(b, b)) for b in range(256)]
 MANIFEST = "part int, stem string, n_docs long, n_tokens long"
 
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a tokenizer file must say for texts to be split here; texts of any other tokenizer go to the library whole.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    },
+}
+SPACE, LETTER, DIGIT, SIGN, ODD, WHOLE = range(6)
+#: Class of each byte: control characters, the apostrophe (it starts units of its own) and bytes over ASCII are odd.
+CLASS = np.full(256, ODD, np.uint8)
+CLASS[0x21:0x7F] = SIGN
+CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+CLASS[0x30:0x3A] = DIGIT
+CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+CLASS[0x27] = ODD
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+#: The second bytes, after 0xC3, of the letters U+00C0 to U+00FF, and of those that have a small letter 32 further.
+LATIN, CAPITAL = np.zeros(256, bool), np.zeros(256, bool)
+LATIN[0x80:0xC0] = True
+CAPITAL[0x80:0x9F] = True
+LATIN[[0x97, 0xB7]] = CAPITAL[0x97] = False
+
 
 class WordIds:
-    """A text's ids as little-endian bytes, word by word.
+    """A text's ids as little-endian bytes.
 
-    The tokenizer (lower case, white space dropped, no joining over it) gives the same ids for a text as for its
-    words split at ASCII white space. Words of letters and printable ASCII are merged here, many at once; words with
-    anything else (other scripts' signs, control characters, special tokens, a capital sigma) go to the library.
+    A tokenizer of these SETTINGS gives the same ids for a text as for its units (runs of letters, single digits, runs
+    of signs), each by itself. Whole batches are split into units by the classes of their bytes; the library's model
+    encodes each unit that is not remembered. Words with anything but ASCII and the letters up to U+00FF, with an
+    apostrophe or with what may be a special token are kept whole: those of Latin letters and ASCII are split by the
+    tokenizer's own pattern, the others are encoded by the library as they are.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.dtype, self.memo = Tokenizer.from_file(path), dtype, Memo(MEMO_WORDS)
+        self.tokenizer, self.dtype, self.memo = Tokenizer.from_file(path), dtype, Memo(MEMO_BYTES)
+        self.model, self.kind = self.tokenizer.model, "H" if dtype == "<u2" else "I"
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        vocabulary, merges = model["model"]["vocab"], model["model"]["merges"]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        self.merges = Merges({(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))})
-        end = model["model"]["end_of_word_suffix"]
-        self.inner = np.array([vocabulary[c] for c in BYTE_CHARS], np.int32)
-        self.last = np.array([vocabulary[c + end] for c in BYTE_CHARS], np.int32)
-        self.plain = regex.compile(r"[\x21-\x7E\p{L}]+")
-        self.units = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+            found = json.load(f)
+        model = found["model"]
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        self.known = plain and all(found[k] == v for k, v in SETTINGS.items()) and all("<|" in t["content"] for t in found["added_tokens"])
+        self.latin = regex.compile("[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
+        self.units = regex.compile(SPLIT)
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
-        """The ids of each text; words are learned for CHARS bytes of texts at a time."""
         for part in grouped(texts, CHARS):
-            split = [(t or b"").split() for t in part]
-            self.learn(split)
-            get = self.memo.__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        memo, missing = self.memo, self.memo.missing(texts)
-        parts: list[tuple[int, list[bytes]]] = []
-        units: dict[bytes, bytes] = {}  # each once; those that are known words are not merged again
-        slow: list[int] = []
-        plain, split = self.plain.fullmatch, self.units.findall
-        for i, w in enumerate(missing):
-            s = w.decode("utf-8", "replace")
-            if not plain(s) or "<|" in s or "\u03a3" in s:
-                slow.append(i)
-                continue
-            if not s.isascii():
-                s = unicodedata.normalize("NFC", s)
-            s = s.lower()
-            found = [s.encode()] if s.isalpha() else [u.encode() for u in split(s)]
-            if max(map(len, found)) > LONGEST:
-                slow.append(i)
-                continue
-            parts.append((i, found))
-            for u in found:
-                if u not in units:
-                    units[u] = memo.get(u, b"")
-        new = [u for u, ids in units.items() if not ids]
-        units.update(zip(new, self.merge(new) if new else (), strict=True))
-        out = [b""] * len(missing)
-        for i, found in parts:
-            out[i] = units[found[0]] if len(found) == 1 else b"".join([units[u] for u in found])
-        for at in range(0, len(slow), 1000):
-            part = slow[at : at + 1000]
-            for i, e in zip(part, self.tokenizer.encode_batch([missing[i].decode("utf-8", "replace") for i in part], add_special_tokens=False), strict=True):
-                out[i] = np.asarray(e.ids, self.dtype).tobytes()
-        self.memo.update(zip(missing, out, strict=True))
-
-    def merge(self, units: list[bytes]) -> list[bytes]:
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        out: list[bytes] = [b""] * len(units)
-        for rows in by_length(lengths):
-            own, width = lengths[rows], int(lengths[rows].max())
-            raw = np.frombuffer(b"".join([units[i].ljust(width, b"\0") for i in rows]), np.uint8).reshape(-1, width)
-            ids = self.inner[raw]
-            at = np.arange(len(rows))
-            ids[at, own - 1] = self.last[raw[at, own - 1]]
-            ids[np.arange(width) >= own[:, None]] = -1
-            ids, size = self.merges.encode(ids, own)
-            packed, item = ids.astype(self.dtype), np.dtype(self.dtype).itemsize
-            flat, step = packed.tobytes(), width * item
-            for k, (i, n) in enumerate(zip(rows.tolist(), size.tolist(), strict=True)):
-                out[i] = flat[k * step : k * step + n * item]
-        return out
+            yield from self.batch(part) if self.known else self.whole([(t or b"").decode("utf-8", "replace") for t in part])
+
+    def whole(self, texts: list[str]) -> Iterator[bytes]:
+        """By the library."""
+        for at in range(0, len(texts), 1000):
+            for e in self.tokenizer.encode_batch(texts[at : at + 1000], add_special_tokens=False):
+                yield array(self.kind, e.ids).tobytes()
+
+    def batch(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        data = np.frombuffer(b"\n".join([t or b"" for t in texts]) + b"\n", np.uint8)
+        kind, low = CLASS[data], LOWER[data]
+        lead = np.flatnonzero(data == 0xC3)
+        if len(lead):
+            lead = lead[LATIN[data[lead + 1]]]
+            kind[lead] = kind[lead + 1] = LETTER
+            low[lead[CAPITAL[data[lead + 1]]] + 1] += 0x20
+        solid = kind != SPACE
+        odd = np.concatenate([np.flatnonzero(kind == ODD), np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))])
+        if len(odd):
+            edge = np.flatnonzero(np.diff(solid, prepend=False))  # starts and ends of words by turns; a space ends the data
+            word = np.unique(np.searchsorted(edge, odd, "right") - 1)
+            n = edge[word + 1] - edge[word]
+            at = np.repeat(edge[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            kind[at], low[at] = WHOLE, data[at]
+        start = solid.copy()
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        places = np.flatnonzero(start)
+        if not len(places):
+            yield from [b""] * len(texts)
+            return
+        body = low[solid]
+        offsets = np.append(np.flatnonzero(start[solid]), len(body)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        indices = units.indices.to_numpy()
+        whole = np.zeros(len(units.dictionary), bool)
+        whole[indices] = kind[places] == WHOLE
+        flat = pa.array(self.ids_of(units.dictionary.to_pylist(), whole), pa.binary()).take(units.indices)
+        where, out = np.frombuffer(flat.buffers()[1], np.int32), flat.buffers()[2].to_pybytes() if flat.buffers()[2] else b""
+        stops = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
+        ends = where[np.searchsorted(places, stops)].tolist()
+        last = 0
+        for end in ends:
+            yield out[last:end]
+            last = end
+
+    def ids_of(self, units: list[bytes], whole: np.ndarray) -> list[bytes]:
+        found = self.memo.get(units)
+        new = {u: self.one(u) for u, ids, w in zip(units, found, whole.tolist(), strict=True) if ids is None and not w}
+        words = [u for u, ids, w in zip(units, found, whole.tolist(), strict=True) if ids is None and w]
+        strange = []
+        for u in words:
+            s = u.decode("utf-8", "replace")
+            if "<|" not in s and self.latin.fullmatch(s):
+                new[u] = b"".join([self.one(x.encode()) for x in self.units.findall(s.lower())])
+            else:
+                strange.append(u)
+        new.update(zip(strange, self.whole([u.decode("utf-8", "replace") for u in strange]), strict=True))
+        if new:
+            self.memo.put(new)
+            found = [new[u] if ids is None else ids for u, ids in zip(units, found, strict=True)]
+        return found
+
+    def one(self, unit: bytes) -> bytes:
+        s = unit.decode() if unit.isascii() else unit.decode("latin-1").translate(_MOVED)
+        return array(self.kind, [t.id for t in self.model.tokenize(s)]).tobytes()
 
 
 _MEMOS: dict[str, WordIds] = {}
@@ -188,7 +221,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "do
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, part = word_ids(vocabulary, dtype), TaskContext.get().partitionId()
-        stem, ids, lengths = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}", [], []
+        stem, ids, lengths = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}", array("q"), array("q")
 
         def write(out) -> None:
             for b in batches:
@@ -199,8 +232,9 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "do
                     out.write(data)
 
         _put(f"{stem}.bin", write)
-        offsets = np.concatenate([[0], np.cumsum(np.asarray(lengths, "<i8"))]).astype("<i8")
+        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.int64) if lengths else np.empty(0, np.int64))]).astype("<i8")
         _put(f"{stem}.idx", lambda out: out.write(MAGIC + struct.pack("<QQ", item, len(ids)) + offsets.tobytes() + np.asarray(ids, "<i8").tobytes()))
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "stem": [stem], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([int(offsets[-1])], pa.int64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
