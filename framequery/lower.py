@@ -292,7 +292,11 @@ class Lower:
         self._need_rows()
         x = self.column(n.arg)
         run = self.s.rows.rowsBetween(W.unboundedPreceding, 0)
-        return {"+": F.sum, "*": F.product, "max": F.max, "min": F.min}[n.name](x).over(run)
+        out = {"+": F.sum, "*": F.product, "max": F.max, "min": F.min}[n.name](x).over(run)
+        if n.name == "*" and isinstance(self.kind(x), (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            # products of whole numbers are whole; beyond what a double holds exactly they are missing, as overflows are
+            return F.when(F.abs(out) < float(1 << 53), out).cast("long")
+        return out
 
     def _eachprior(self, n: EachPrior) -> Column:
         self._need_rows()

@@ -51,6 +51,27 @@ def is_index(x: Any) -> bool:
     return isinstance(x, Index)
 
 
+def asof_groups(index: Any) -> DataFrame:
+    """The exact keys of an as-of index, each with its number of rows and its first and last time."""
+    if not isinstance(index, Index):
+        raise DtError("not-an-index", f"{type(index).__name__} is not an index")
+    if index.kind != "asof":
+        raise DtError("asof-index-wrong-kind", f"groups by time belong to an as-of index, not to {index.kind}", kind=index.kind)
+    *exact, time = index.keys
+    rows = index.df.filter(quoted(time).isNotNull())
+    return rows.groupBy(*map(quoted, exact)).agg(F.count(F.lit(1)).alias("n"), F.min(quoted(time)).alias("first"), F.max(quoted(time)).alias("last"))
+
+
+def row_exact_key(row: Any, keys: list[str]) -> tuple:
+    """A row's values of all keys but the last."""
+    return tuple(row[k] for k in keys[:-1])
+
+
+def row_asof_val(row: Any, keys: list[str]) -> Any:
+    """A row's value of the last key."""
+    return row[keys[-1]]
+
+
 def _found(index: Any, key: Any) -> DataFrame:
     if not isinstance(index, Index):
         raise DtError("not-an-index", f"{type(index).__name__} is not an index")

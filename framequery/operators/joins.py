@@ -110,6 +110,8 @@ def join(
     if how == "asof":
         return asof_join(left, right, a, b, direction, tolerance, spread)
     if how == "window":
+        if spread:
+            raise DtError("join-invalid-window", "spread serves as-of joins; a window join deals rows by its exact keys")
         if window is None:
             raise DtError("join-missing-window", "a window join needs window=[lo, hi] or [lo, hi, unit]")
         if not agg:
@@ -217,10 +219,11 @@ def _matched(left: DataFrame, right: DataFrame, a: list[str], b: list[str], dire
     t, kind = F.col("__t"), both.schema["__t"].dataType
     gap = lambda r: F.abs(_measure(t, kind) - _measure(r["__rt"], kinds[1]))
     if direction == "nearest":
-        both, before = _carried(both, exact, False, False)
-        both = both.withColumn("__before", before)
-        both, after = _carried(both, exact, True, False)
-        both = both.withColumn("__after", after)
+        own = both.columns
+        both, before = _carried(both, exact, False, spread)
+        both = both.select(*own, before.alias("__before"))
+        both, after = _carried(both, exact, True, spread)
+        both = both.select(*own, "__before", after.alias("__after"))
         x, y = F.col("__before"), F.col("__after")
         picked = F.when(y.isNull() | (gap(x) <= gap(y)), x).otherwise(y)
     else:
@@ -271,6 +274,17 @@ def asof_search(values: list, x: Any, direction: str = "backward") -> int:
     return before if x - values[before] <= values[after] - x else after
 
 
+def asof_indices(left: list, right: list) -> list[int]:
+    """For each value of a sorted list the place of the last value <= it in another sorted list; -1 if there is none.
+    Missing values match nothing."""
+    from bisect import bisect_right
+
+    there = [(x, i) for i, x in enumerate(right) if x is not None]
+    values = [x for x, _ in there]
+    at = [-1 if x is None else bisect_right(values, x) - 1 for x in left]
+    return [there[i][1] if i >= 0 else -1 for i in at]
+
+
 # -- windows
 
 def window_bounds(window: Any) -> tuple[float | int, float | int]:
@@ -303,6 +317,9 @@ def window_join(left: DataFrame, right: DataFrame, a: list[str], b: list[str], w
             window_forbidden(n, f"agg {k}")
             unknown_columns(columns_of(n), right.columns, f"agg {k}")
     numbered = row_numbered(left)
+    if any(not isinstance(n, Expr) for n in nodes.values()):
+        # two plans meet by the row id: written once, it is the same in both whatever is run again
+        numbered = written(numbered, "window_left")
     out = _framed(numbered, row_numbered(right), a, b, lo, hi, {k: n for k, n in nodes.items() if isinstance(n, Expr)})
     for k, f in nodes.items():
         if not isinstance(f, Expr):
@@ -334,11 +351,11 @@ def _framed(left: DataFrame, right: DataFrame, a: list[str], b: list[str], lo, h
 
 
 def _double_frame(exact: list[str], t: Column, lo, hi):
-    """Range frames take whole bounds: times are scaled to millionths where a bound isn't whole."""
+    """Range frames take whole bounds: where a bound isn't whole, times are scaled as decimals by up to a million."""
     if float(lo).is_integer() and float(hi).is_integer():
         return W.partitionBy(*exact).orderBy(t.cast("double")).rangeBetween(int(lo), int(hi))
-    scale = 1_000_000
-    return W.partitionBy(*exact).orderBy((t.cast("double") * scale)).rangeBetween(round(lo * scale), round(hi * scale))
+    scale = next(10**k for k in range(1, 7) if k == 6 or all(float(round(x * 10**k)) == x * 10**k for x in (lo, hi)))
+    return W.partitionBy(*exact).orderBy((t.cast("decimal(31,6)") * F.lit(scale)).cast("decimal(38,6)")).rangeBetween(round(lo * scale), round(hi * scale))
 
 
 def _ranged(left: DataFrame, right: DataFrame, a: list[str], b: list[str], lo, hi, k: str, f: Callable) -> DataFrame:

@@ -126,21 +126,44 @@ def pass_nil(f: Callable, *guards: str) -> Callable:
 
 @dataclass(frozen=True)
 class Grouping:
+    """Keys and order, the table they were prepared from, and that table dealt and sorted by them."""
+
     by: tuple
     within_order: tuple
     df: DataFrame
+    source: DataFrame
 
 
 def prepare_grouping(df: DataFrame, by: list[str], within_order: list | None = None, persist: bool = False) -> Grouping:
-    """Shuffle and sort once for several derivations over the same groups: every later window with these keys and
-    order reuses the partitioning. ``persist`` keeps the rows (memory, then disk) for separate actions."""
+    """Shuffle and sort once for several derivations over the same groups: derivations of the table, and of what such
+    derivations gave, share one shuffle and one sort. A table made from it in other ways (filtered, say) is worked on by
+    its own rows, with the same keys and order. ``persist`` keeps the rows (memory, then disk) for separate actions."""
     if any(not isinstance(b, str) for b in by) or not by:
         raise DtError("invalid-grouping-by", "a grouping needs names of columns", by=by)
     unknown_columns(by, df.columns, "by")
     orders = order_specs(within_order or [], df, "within-order-invalid")
     out = df if RID in df.columns else df.withColumn(RID, F.monotonically_increasing_id())
     out = out.repartition(*map(quoted, by)).sortWithinPartitions(*map(quoted, by), *order_columns(orders), quoted(RID))
-    return Grouping(tuple(by), tuple(orders), out.persist() if persist else out)
+    return Grouping(tuple(by), tuple(orders), out.persist() if persist else out, df)
+
+
+def _lineage(df: DataFrame, names: tuple) -> dict[str, int]:
+    """The identities of columns, which filters and further columns leave as they are."""
+    out = df._jdf.queryExecution().analyzed().output()
+    attributes = [out.apply(i) for i in range(out.size())]
+    return {a.name(): a.exprId().id() for a in attributes if a.name() in names}
+
+
+def _grouped(df: DataFrame, grouping: Grouping) -> DataFrame:
+    """The rows of df, dealt and sorted as prepared where they still are."""
+    if df is grouping.source or df is grouping.df:
+        return grouping.df
+    held = df.__dict__.get("_fq_held")
+    if held is not None and held[0] is grouping:
+        return held[1]
+    if len(_lineage(df, grouping.by)) < len(grouping.by) or _lineage(df, grouping.by) != _lineage(grouping.df, grouping.by):
+        raise DtError("grouping-row-mismatch", "the grouping was prepared from another table")
+    return df
 
 
 # -- orders
@@ -416,14 +439,14 @@ def dt(df: DataFrame, *, where: Any = None, set: Any = None, agg: dict | None =
             raise DtError("grouping-requires-set", "a prepared grouping serves derivations")
         if by is not None or within_order is not None or where is not None:
             raise DtError("grouping-conflict", "a prepared grouping has its own by and within_order, and rows can't be filtered under it")
-        if df.columns != [c for c in grouping.df.columns if c != RID] and df is not grouping.df:
-            raise DtError("grouping-row-mismatch", "the grouping was prepared from another table")
-        df, by, within_order = grouping.df, list(grouping.by), list(grouping.within_order)
+        had = RID in df.columns
+        df, by, within_order = _grouped(df, grouping), list(grouping.by), list(grouping.within_order)
     if within_order is not None and set is None and agg is None:
         raise DtError("within-order-invalid", "within_order belongs to set or agg")
     if isinstance(by, (str, Xbar, Qtile)):
         by = [by]
-    had = RID in df.columns and grouping is None
+    if grouping is None:
+        had = RID in df.columns
     nodes = [expression(x) for x in ((set.values() if isinstance(set, dict) else [p[1] for p in set]) if set else []) if isinstance(x, (Expr, str, list, tuple))]
     ordered = [n for n in [*nodes, *(expression(x) for x in (agg or {}).values() if isinstance(x, (Expr, str)))] if has_window(n) or order_sensitive(n)]
     if where is not None:
@@ -457,7 +480,10 @@ def dt(df: DataFrame, *, where: Any = None, set: Any = None, agg: dict | None =
     if select is not None:
         df = _select(df, select)
     df = _order_take(df, order_by, take)
-    return df if had else df.drop(RID)
+    out = df if had else df.drop(RID)
+    if grouping is not None and order_by is None and take is None:
+        out._fq_held = (grouping, df)  # a further pass goes on from the rows with their ids, still dealt and sorted
+    return out
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framequery.errors import DtError, unknown_columns
@@ -46,28 +46,38 @@ def time_bars(df: DataFrame, time: str, width: int, unit: str, agg: dict, by: li
     if unit not in N.UNIT_MS:
         raise DtError("xbar-unknown-unit", f"{unit} is not one of {', '.join(N.UNIT_MS)}", unit=unit)
     unknown_columns([time, *(by or [])], df.columns, "time_bars")
+    nodes = _bounded(df, agg)
+    if late:
+        df = df.withWatermark(time, late)
+    cols = _aggregated(df, nodes, by or [])
+    bar = F.window(quoted(time), f"{width} {unit}")
+    return df.groupBy(bar.alias("__bar"), *map(quoted, by or [])).agg(*cols).select(*map(quoted, by or []), F.col("__bar.start").alias("bar"), *map(quoted, nodes))
+
+
+def _bounded(df: DataFrame, agg: dict) -> dict[str, Expr]:
     nodes = {k: expression(v) for k, v in agg.items()}
     for k, n in nodes.items():
         odd = [x.name for x in walk(n) if type(x).__name__ == "Op" and x.name in ("md", "qnt", "nuniq", "first-val", "last-val")]
         if odd and df.isStreaming:
             raise DtError("unknown-op", f"{k}: {odd[0]} needs unbounded state; a stream takes {', '.join(BOUNDED)}", op=odd[0])
-    if late:
-        df = df.withWatermark(time, late)
-    lower = Lower(Scope(df, "group", by or []))
-    cols = []
+    return nodes
+
+
+def _aggregated(df: DataFrame, nodes: dict[str, Expr], by: list[str]) -> list[Column]:
+    lower = Lower(Scope(df, "group", by))
+    out = []
     for k, n in nodes.items():
         lower.check(n, f"agg {k}")
-        cols.append(lower.column(n).alias(k))
-    bar = F.window(quoted(time), f"{width} {unit}")
-    return df.groupBy(bar.alias("__bar"), *map(quoted, by or [])).agg(*cols).select(*map(quoted, by or []), F.col("__bar.start").alias("bar"), *map(quoted, nodes))
+        out.append(lower.column(n).alias(k))
+    return out
 
 
 def sessions(df: DataFrame, time: str, gap: str, agg: dict, by: list[str], late: str | None = None) -> DataFrame:
     """Runs of rows of a key without a pause of ``gap``: keys, ``start``, ``end`` and the aggregates."""
     unknown_columns([time, *by], df.columns, "sessions")
+    nodes = _bounded(df, agg)
     if late:
         df = df.withWatermark(time, late)
-    lower = Lower(Scope(df, "group", by))
-    cols = [lower.column(expression(v)).alias(k) for k, v in agg.items()]
+    cols = _aggregated(df, nodes, by)
     out = df.groupBy(F.session_window(quoted(time), gap).alias("__bar"), *map(quoted, by)).agg(*cols)
     return out.select(*map(quoted, by), F.col("__bar.start").alias("start"), F.col("__bar.end").alias("end"), *map(quoted, agg))

@@ -149,7 +149,7 @@ def test_groupings_and_conflicts(spark):
     a, b = dt(t, grouping=g, set={"d": "(win/delta :x)"}), dt(t, by=["k"], within_order=["t"], set={"d": "(win/delta :x)"})
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert code(dt, t, grouping=g) == "grouping-requires-set" and code(dt, t, grouping=g, set={"d": ":x"}, by=["k"]) == "grouping-conflict"
-    assert code(dt, t, grouping=g, set={"d": ":x"}, where="(> :t 1)") == "grouping-conflict" and code(dt, t.drop("x"), grouping=g, set={"d": ":t"}) == "grouping-row-mismatch"
+    assert code(dt, t, grouping=g, set={"d": ":x"}, where="(> :t 1)") == "grouping-conflict" and code(dt, make(spark, k=["a"], t=[1], x=[2.0]), grouping=g, set={"d": ":t"}) == "grouping-row-mismatch"
     assert code(prepare_grouping, t, [3]) == "invalid-grouping-by" and code(dt, t, by=[3], agg={"n": N}) == "invalid-grouping-by"
     assert code(dt, t, set={"a": "1"}, agg={"n": N}) == "set-agg-conflict" and code(dt, t, within_order=["t"]) == "within-order-invalid" and code(dt, t, set={"a": ":x"}, within_order=[5]) == "within-order-invalid"
     assert code(dt, t, where="(> (win/lag :x 1) 2)") == "win-outside-window" and code(dt, t, agg={"a": "(win/lag :x 1)"}) == "win-outside-window"
