@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,22 +14,47 @@ from pyspark.sql import Window as W
 SPACE = r"\x20\x09-\x0D"
 #: At most so many groups are called hot, so the table of hot groups has a proven bound and may be broadcast.
 MAX_HOT = 1000
+#: Bytes of rows in one Arrow batch: a worker holds a batch or two, and Spark as much outside its heap for each task.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a fresh temp folder only where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Only where that is unset and Spark runs in this machine
+    alone (tests) a fresh temp folder takes its place; on a cluster it must be set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fq_ckpt_"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
     return base.rstrip("/")
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fq_{name}_{uuid.uuid4().hex}"
+    """A new path in this application's own folder, which goes when the driver's Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark)}/fq_{app}_{uuid.uuid4().hex}"
+        atexit.register(_sweep, spark, _FOLDERS[app])
+    return f"{_FOLDERS[app]}/{name}_{uuid.uuid4().hex}"
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    try:
+        drop_path(spark, path)
+    except Exception:  # noqa: BLE001  Spark may be gone already; then the folder stays for whoever owns it
+        pass
+
+
+def lean(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes; long texts would else make batches of hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +62,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fq_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and getattr(t, "_fq_path", None):
+            drop_path(t.sparkSession, t._fq_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
