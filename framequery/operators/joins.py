@@ -360,7 +360,9 @@ def _double_frame(exact: list[str], t: Column, lo, hi):
 
 def _ranged(left: DataFrame, right: DataFrame, a: list[str], b: list[str], lo, hi, k: str, f: Callable) -> DataFrame:
     """(row id, value of f) by a join on time bins as wide as the window: a left row meets two bins at most."""
-    import pandas as pd
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     width = float(max(hi - lo, 1e-9)) if hi > lo else 1.0
     kind = f.kind if isinstance(f, Typed) else "double"
@@ -374,11 +376,38 @@ def _ranged(left: DataFrame, right: DataFrame, a: list[str], b: list[str], lo, h
         match = match & F.col(f"__k{i}").eqNullSafe(F.col(f"__q{i}"))
     met = l.join(r, match, "left").select(F.col("__lid").alias(RID), "__rrid", "__rt", *[F.col("__r")[c].alias(c) for c in own])
 
-    def run(key, pdf):
-        rows = pdf[pdf["__rrid"].notna()].sort_values(["__rt", "__rrid"], kind="stable")[own].reset_index(drop=True)
-        return pd.DataFrame({RID: [key[0]], k: [f(rows)]})
-
-    return met.groupBy(RID).applyInPandas(run, T.StructType([T.StructField(RID, T.LongType()), T.StructField(k, T._parse_datatype_string(kind))]))
+    result = T._parse_datatype_string(kind)
+    zone = left.sparkSession.conf.get("spark.sql.session.timeZone")
+
+    def calls(t):
+        """f once for each left row of a sorted table that holds all their windows."""
+        there = t["__rrid"].is_valid()
+        frame = t.filter(there).select(own).to_pandas()
+        for c in own:
+            if getattr(frame[c].dtype, "tz", None) is not None:
+                frame[c] = frame[c].dt.tz_convert(zone).dt.tz_localize(None)
+        ids = t[RID].to_numpy()
+        found, lefts = ids[there.to_numpy(zero_copy_only=False)], np.unique(ids)
+        first, stop = np.searchsorted(found, lefts, "left"), np.searchsorted(found, lefts, "right")
+        values = [f(frame.iloc[x:y].reset_index(drop=True)) for x, y in zip(first, stop, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(lefts), pa.array([getattr(v, "item", lambda v=v: v)() for v in values], to_arrow_type(result))], [RID, k])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows:
+                ids = held[RID].to_numpy()
+                whole = int(np.searchsorted(ids, ids[-1]))  # the last left row may go on in the next batch
+                if whole:
+                    yield calls(held.slice(0, whole))
+                    held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield calls(held)
+
+    dealt = met.repartition(quoted(RID)).sortWithinPartitions(quoted(RID), "__rt", "__rrid")
+    return dealt.mapInArrow(run, T.StructType([T.StructField(RID, T.LongType()), T.StructField(k, result)]))
 
 
 def window_row_indices(left: DataFrame, right: DataFrame, a: list[str], b: list[str], window: Any) -> DataFrame:

@@ -111,16 +111,9 @@ def join_window(spark, d):
     return rounded(join(p, v, on=["user_id", "t"], how="window", window=[-12 * HOUR, 0], agg={"n": N, "mean": "(mn :value)", "top": "(mx :value)", "first": "(first-val :value)"}), mean=9)
 
 
-@query(f"""WITH {SIDES} SELECT p.event_id, p.user_id, p.t, p.value, count(v.t) AS n FROM (SELECT * FROM p WHERE event_id % 10 = 0) p LEFT JOIN v ON p.user_id = v.user_id AND v.t BETWEEN p.t - {2 * HOUR} AND p.t + {2 * HOUR} GROUP BY ALL""")
-def join_window_function(spark, d):
-    """A Python function over each window, which sees an empty table where nothing matches."""
-    p, v = sides(spark, d)
-    return join(p.filter("event_id % 10 = 0"), v, on=["user_id", "t"], how="window", window=[-2 * HOUR, 2 * HOUR], agg={"n": typed("bigint")(len)})
-
-
 @query(f"""WITH {SIDES} SELECT p.event_id, p.user_id, p.t, p.value, count(v.t) AS n FROM p LEFT JOIN v ON p.user_id = v.user_id AND v.t BETWEEN p.t - {2 * HOUR} AND p.t + {2 * HOUR} GROUP BY ALL""")
-def join_window_function_whole(spark, d):
-    """The same for every purchase: the function is called once a left row."""
+def join_window_function(spark, d):
+    """A Python function over each window, called once a left row; it sees an empty table where nothing matches."""
     p, v = sides(spark, d)
     return join(p, v, on=["user_id", "t"], how="window", window=[-2 * HOUR, 2 * HOUR], agg={"n": typed("bigint")(len)})
 

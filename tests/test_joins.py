@@ -149,6 +149,6 @@ def test_window_function_over_every_left_row(spark, tmp_path):
     at = [rng.randrange(48 * 60) for _ in range(120)]
     rows = [(i, rng.randrange(4), datetime(2024, 1, 1) + timedelta(minutes=m), rng.choice(["purchase", "view"]), float(i)) for i, m in enumerate(at)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r["event_id"]: r["n"] for r in catalogue.QUERIES["join_window_function_whole"](spark, str(tmp_path)).collect()}
+    got = {r["event_id"]: r["n"] for r in catalogue.QUERIES["join_window_function"](spark, str(tmp_path)).collect()}
     want = {i: sum(k == "view" and v == u and abs(at[j] - at[i]) <= 120 for j, v, _, k, _ in rows) for i, u, _, kind, _ in rows if kind == "purchase"}
     assert got == want and len(want) > 40 and 0 in want.values()
