@@ -57,10 +57,13 @@ def lean(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write as Parquet in the shared folder and read back. Survives lost executors."""
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Cut the lineage: write as Parquet in the shared folder and read back. Survives lost executors. ``few``: for tables
+    far smaller than the input, an eighth as many files as there are shuffle partitions."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if few:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fq_path = path
@@ -81,6 +84,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shielded(docs: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named c0, c1, ..., so that none clashes with an operator's own, and the new names of cols.
+    ``out.toDF(*docs.columns)`` gives the names back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [f"c{docs.columns.index(c)}" for c in cols]
+
+
 def normal_text(text: Column | str) -> Column:
     """Null as empty; each run of ASCII white space as one space."""
     c = F.col(text) if isinstance(text, str) else text

@@ -9,9 +9,11 @@ within groups of one gram. About one place in ten (words) or thirty-five (bytes)
 2. Anchors meet by gram, sorted by (gram, context, document, place). Those whose context occurred before are settled:
    every window through them is a repeat. First contexts of a gram that has several are undecided: they agree around
    the gram and differ further out. Grams of one context are unique. This is a stream with a state of one row.
-3. Undecided anchors fetch their context from the text, meet by gram again, and a ``solver`` finds the windows that
-   start earlier, for groups filled up to GROUP contexts at a time. A gram with more contexts than that is not
-   collected: its windows go on one by one, by the hash of the whole window, to an aggregation with a combine.
+3. Undecided anchors fetch their context from the text and meet by gram again. Each is
+   trimmed to the longest stretches before and behind the gram that another shares (what is further out repeats nowhere);
+   of equal trimmed contexts all but the earliest are repeats, and those shorter than ``window`` hold none. Of the rest a
+   ``solver`` finds the windows that start earlier, for groups of whole grams, STEP contexts or one gram at a time. A gram with more than GROUP contexts
+   is dealt on by a longer prefix, the whole window (128 bits of hash), to an aggregation with a combine.
 4. The spans of each document are merged and cut out.
 
 Texts are shuffled only for the documents that have undecided anchors (3) or spans (4), behind Bloom filters.
@@ -23,16 +25,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framequery.llm.bloom import filter_bits, tested
 from framequery.llm.memo import grouped
-from framequery.llm.common import written
+from framequery.llm.common import dropped, lean, written
 
 CHUNK_BYTES = 1 << 20
-GROUP = 20_000
+GROUP, STEP = 20_000, 1500
 BASE = 0x5851F42D4C957F2D
+SECOND = 0x9FB21C651E98DF25
 INVERSE = pow(BASE, -1, 1 << 64)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -184,21 +188,23 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fetch_contexts(batches: Iterator[pa.RecordBatch], units: Callable, pack: Callable, window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, anchors) -> a row for each undecided anchor: gram, doc, start of the context, its units packed."""
+    """(id, text, anchors) -> a row for each undecided anchor: gram, doc, start of the context, the gram's place in it, its
+    units packed."""
     for b in batches:
         for r in range(b.num_rows):
             text, found = b.column(1)[r].as_py(), b.column(2)[r].as_py()
             if not text or not found:
                 continue
             u = pack(units(text, plain=True))
-            n, grams, starts, data = len(u), [], [], []
+            n, grams, starts, places, data = len(u), [], [], [], []
             for x in found:
                 if x["place"] + gram <= n:
                     lo, hi = max(0, x["place"] - (window - gram)), min(n, x["place"] + window)
                     grams.append(x["gram"])
                     starts.append(lo)
+                    places.append(x["place"] - lo)
                     data.append(u[lo:hi].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array([b.column(0)[r].as_py()] * len(grams), pa.int64()), pa.array(starts, pa.int32()), pa.array(data, pa.binary())], ["gram", "doc", "start", "units"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array([b.column(0)[r].as_py()] * len(grams), pa.int64()), pa.array(starts, pa.int32()), pa.array(places, pa.int32()), pa.array(data, pa.binary())], ["gram", "doc", "start", "place", "units"])
 
 
 def repeats_of(classes: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,14 +224,48 @@ def repeats_of(classes: np.ndarray, doc: np.ndarray, place: np.ndarray, window:
     return docs[(late[head] >> 32)], at[head], at[tail] + window
 
 
-def decide(batches: Iterator[pa.RecordBatch], solver: Callable, dtype, window: int) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by gram -> spans (doc, lo, hi, null), or single windows (doc, lo, hi, hash) of a gram that has
-    too many contexts to be held."""
+def trimmed(units: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray, grams: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts sorted by gram, how far each agrees before and behind its gram with any other of the gram: the longest
+    common prefixes of neighbours when these stretches are sorted."""
+    reach, n = window - gram, len(grams)
+    at, steps = begin + place, np.arange(window - gram)
+    if units.dtype == np.uint8:
+        units = units + np.uint8(1)  # no zeros, which fill up short stretches (UTF-8 has no 0xFF; hashes of words are odd)
+
+    def longest(places: np.ndarray, room: np.ndarray) -> np.ndarray:
+        side = np.where(steps < room[:, None], units[np.clip(places, 0, len(units) - 1)], units.dtype.type(0))
+        key = np.concatenate([grams.astype(">i8").view(np.uint8).reshape(n, 8), side.view(np.uint8).reshape(n, -1)], axis=1)
+        order = np.argsort(key.view(f"S{key.shape[1]}")[:, 0])
+        one = side[order]
+        differ = np.ones((n - 1, reach + 1), bool)
+        np.not_equal(one[1:], one[:-1], out=differ[:, :reach])
+        common = np.where(grams[order[1:]] == grams[order[:-1]], differ.argmax(axis=1), 0)
+        out = np.zeros(n, np.int64)
+        out[order] = np.maximum(np.append(0, common), np.append(common, 0))
+        return np.minimum(out, room)
+
+    return longest(at[:, None] - 1 - steps, place), longest(at[:, None] + gram + steps, end - at - gram)
+
+
+def window_hashes(units: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the window at each place."""
+    units = units.astype(np.uint64) + np.uint64(1)
+    first = Hashed(units, np.array([len(units)])).of(at, at + window)
+    second, base = np.zeros(len(at), np.uint64), np.uint64(SECOND)
+    other = mix(units)
+    for i in range(window):
+        second = second * base + other[at + i]
+    return mix(first), mix(second)
+
+
+def decide(batches: Iterator[pa.RecordBatch], solver: Callable, dtype, window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by gram -> spans (doc, lo, hi, null, null), or single windows (doc, lo, hi, and two hashes) of a
+    gram that has too many contexts to be held."""
 
     def rows(spans, hashes=None):
         d, lo, hi = spans
-        h = pa.nulls(len(d), pa.int64()) if hashes is None else pa.array(hashes)
-        return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), h], ["doc", "lo", "hi", "hash"])
+        h = [pa.nulls(len(d), pa.int64())] * 2 if hashes is None else [pa.array(x.view(np.int64)) for x in hashes]
+        return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), *h], ["doc", "lo", "hi", "hash", "hash2"])
 
     def windows(part):
         """All windows of the contexts: packed units, index of each start, document, place."""
@@ -238,18 +278,51 @@ def decide(batches: Iterator[pa.RecordBatch], solver: Callable, dtype, window: i
         return units, np.repeat(begin, n) + offset, np.repeat(part["doc"].to_numpy(), n), np.repeat(part["start"].to_numpy(), n).astype(np.int64) + offset
 
     def solve(part):
-        units, at, doc, place = windows(part)
-        if len(at):
-            spans = repeats_of(solver(units, at, window), doc, place, window)
-            if len(spans[0]):
-                yield rows(spans)
+        """Whole grams, the distinct trimmed contexts about STEP at a time."""
+        arrays = [np.frombuffer(x, dtype) for x in part["units"].to_pylist()]
+        end = np.cumsum(np.fromiter(map(len, arrays), np.int64, len(arrays)))
+        begin = np.append(0, end[:-1])
+        units, place, grams, doc = np.concatenate(arrays), part["place"].to_numpy().astype(np.int64), part["gram"].to_numpy(), part["doc"].to_numpy()
+        before, behind = trimmed(units, begin, end, place, grams, window, gram)
+        lo, size = place - before, before + gram + behind
+        start = part["start"].to_numpy() + lo
+        order = np.lexsort((start, doc, grams))
+        order = order[size[order] >= window]
+        data, item = units.tobytes(), units.dtype.itemsize
+        first: dict = {}
+        again = []
+        for i, g, a, b, n in zip(order.tolist(), grams[order].tolist(), (begin + lo)[order].tolist(), before[order].tolist(), size[order].tolist(), strict=True):
+            k = (g, b, data[a * item : (a + n) * item])
+            if k in first:
+                again.append(i)
+            else:
+                first[k] = i
+        if again:
+            yield rows((doc[again], start[again], (start + size)[again]))
+        if not first:
+            return
+        own = np.fromiter(first.values(), np.int64, len(first))  # in the order of grams
+        own_grams = grams[own]
+        head = np.flatnonzero(np.append(True, own_grams[1:] != own_grams[:-1]))
+        step = head // STEP
+        cuts = [*head[np.flatnonzero(np.append(True, step[1:] != step[:-1]))].tolist(), len(own)]
+        left = pa.table({"doc": doc[own], "start": start[own], "units": pa.array([k[2] for k in first], pa.binary())})
+        lonely = np.diff(np.append(head, len(own))) == 1  # one context: nothing to compare it with
+        left = left.append_column("alone", pa.array(np.repeat(lonely, np.diff(np.append(head, len(own))))))
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            some = left.slice(x, y - x)
+            some = some.filter(pc.invert(some["alone"]))
+            if some.num_rows:
+                u, at, d, p = windows(some)
+                spans = repeats_of(solver(u, at, window), d, p, window)
+                if len(spans[0]):
+                    yield rows(spans)
 
     def loose(part):
-        for i in range(0, part.num_rows, 5000):
-            units, at, doc, place = windows(part.slice(i, 5000))
+        for i in range(0, part.num_rows, STEP):
+            units, at, doc, place = windows(part.slice(i, STEP))
             if len(at):
-                h = Hashed(units.astype(np.uint64) + np.uint64(1), np.array([len(units)]))
-                yield rows((doc, place, place + window), mix(h.of(at, at + window)).view(np.int64))
+                yield rows((doc, place, place + window), window_hashes(units, at, window))
 
     held: pa.Table | None = None
     crowded = None
@@ -263,7 +336,7 @@ def decide(batches: Iterator[pa.RecordBatch], solver: Callable, dtype, window: i
                 continue
             crowded = None
         held = t if held is None else pa.concat_tables([held, t])
-        if held.num_rows < GROUP:
+        if not held.num_rows:
             continue
         grams = held["gram"].to_numpy()
         tail = int((grams == grams[-1]).sum())
@@ -281,20 +354,22 @@ def decide(batches: Iterator[pa.RecordBatch], solver: Callable, dtype, window: i
 def repeated_spans(docs: DataFrame, units: Callable, pack: Callable, dtype: str, solver: Callable, window: int, gram: int) -> DataFrame:
     """(doc, spans: array of (lo, hi)) of the documents that have repeats. docs: (doc long, text binary)."""
     spark = docs.sparkSession
+    lean(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.where(F.col("doc").isNotNull() & (F.length("text") >= window))
     anchors = own.select("doc", "text").mapInArrow(lambda it: find_anchors(it, units, window, gram), "gram long, context long, doc long, place int, settled boolean")
     by_gram = anchors.repartition(parts, "gram").sortWithinPartitions("gram", "context", "doc", "place")
     found = written(by_gram.mapInArrow(match_anchors, "doc long, place int, gram long, settled boolean"), "anchors")
-    open_ = written(found.where(~F.col("settled")).groupBy("doc").agg(F.collect_set(F.struct("place", "gram")).alias("anchors")), "open")
+    open_ = written(found.where(~F.col("settled")).groupBy("doc").agg(F.collect_set(F.struct("place", "gram")).alias("anchors")), "open", few=True)
     some = tested(own, "doc", open_, filter_bits(open_.count())).where("maybe").select("doc", "text")
     met = some.join(open_.hint("merge"), "doc")
-    contexts = met.mapInArrow(lambda it: fetch_contexts(it, units, pack, window, gram), "gram long, doc long, start int, units binary")
+    contexts = met.mapInArrow(lambda it: fetch_contexts(it, units, pack, window, gram), "gram long, doc long, start int, place int, units binary")
     sorted_contexts = contexts.repartition(parts, "gram").sortWithinPartitions("gram")
-    decided = written(sorted_contexts.mapInArrow(lambda it: decide(it, solver, dtype, window), "doc long, lo int, hi int, hash long"), "decided")
+    decided = written(sorted_contexts.mapInArrow(lambda it: decide(it, solver, dtype, window, gram), "doc long, lo int, hi int, hash long, hash2 long"), "decided")
+    dropped(open_)
     crowd = decided.where(F.col("hash").isNotNull())
-    first = crowd.groupBy("hash").agg(F.min(F.struct("doc", "lo")).alias("first"))
-    late = crowd.join(first.hint("merge"), "hash").where(F.struct("doc", "lo") > F.col("first")).select("doc", "lo", "hi")
+    first = crowd.groupBy("hash", "hash2").agg(F.min(F.struct("doc", "lo")).alias("first"))
+    late = crowd.join(first.hint("merge"), ["hash", "hash2"]).where(F.struct("doc", "lo") > F.col("first")).select("doc", "lo", "hi")
     settled = found.where("settled").select("doc", (F.col("place") - (window - gram)).alias("lo"), (F.col("place") + window).alias("hi"))
     spans = settled.unionByName(decided.where(F.col("hash").isNull()).select("doc", "lo", "hi")).unionByName(late)
     return spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -315,7 +390,7 @@ def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc, text, spans): spans are null for documents without any, which are not shuffled."""
-    spans = written(spans, "spans")
+    spans = written(spans, "spans", few=True)
     split = tested(docs, "doc", spans, filter_bits(spans.count()))
     hit = split.where("maybe").drop("maybe").join(spans.hint("merge"), "doc", "left")
     return hit.select("doc", "text", "spans").unionByName(split.where(~F.col("maybe")).select("doc", "text", F.lit(None).cast(hit.schema["spans"].dataType).alias("spans")))

@@ -5,8 +5,8 @@ threshold needs, gives the transform. Intervals of suffixes with a common prefix
 are extended backwards breadth first: where an interval ends at level l, the suffixes one byte longer that the
 LF-mapping takes to both sides of the boundary have a common prefix of exactly l, so boundaries, that is longest common
 prefixes, appear in increasing value. Expansion stops at ``window``: suffixes still in one interval share that many
-bytes. While most rows get boundaries a level is one pass over all rows; later only the images of the newest
-boundaries are visited.
+bytes. A level visits, of each interval split last, all parts but the largest, so that a row is
+visited a logarithmic number of times in all.
 
 Defined cases: null and empty texts have no bytes; texts shorter than the window lose nothing; cuts may split a
 character, so what is kept is bytes; rows with a null id are left whole; rows with the same id are one document (equal
@@ -28,7 +28,6 @@ from framequery.llm.repeats import merged, repeated_spans, with_spans
 WINDOW, GRAM = 100, 32
 #: A random odd 64-bit number for each byte.
 CODES = np.random.default_rng(20240611).integers(0, 1 << 63, 256, np.uint64) << np.uint64(1) | np.uint64(1)
-SPARSE = 40  # a level visits single boundaries when they are fewer than a fortieth of rows over the alphabet's size
 
 
 def byte_units(text: bytes, plain: bool = False) -> np.ndarray:
@@ -41,23 +40,39 @@ def pack(units: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Places of t in the order of their first ``depth`` bytes or more, by doubling from eight."""
+    """Places of t in the order of their first ``depth`` bytes or more, by doubling from eight; only places that are
+    still tied are sorted again."""
     n = len(t)
     padded = np.concatenate([t, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : n + i]
+    order = np.argsort(key)
+    sorted_key = key[order]
+    slots = np.arange(n)
+    fresh = np.append(True, sorted_key[1:] != sorted_key[:-1])
+    rank = np.zeros(n + depth + 8, np.int64)  # the first slot of a place's group, from 1; 0 beyond the end
+    rank[order] = np.maximum.accumulate(np.where(fresh, slots, 0)) + 1
     reach = 8
-    while True:
-        order = np.argsort(key, kind="stable")
-        fresh = np.append(False, key[order[1:]] != key[order[:-1]])
-        if reach >= depth or fresh[1:].all():
-            return order
-        name = np.empty(n, np.uint64)
-        name[order] = np.cumsum(fresh).astype(np.uint64) + np.uint64(1)
-        key = name << np.uint64(32)
-        key[: n - reach] |= name[reach:]
+    while reach < depth:
+        tied = ~(fresh & np.append(fresh[1:], True))
+        slots = slots[tied]
+        if not len(slots):
+            break
+        at = order[slots]
+        key = rank[at] << 32 | rank[at + min(reach, depth)]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[slots] = at
+        fresh = np.append(True, key[1:] != key[:-1])
+        rank[at] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))] + 1
         reach *= 2
+    return order
+
+
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
 
 def intervals(t: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
@@ -67,27 +82,34 @@ def intervals(t: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     n = len(t)
     sa = suffix_array(t, window + 1)
     bwt = t[sa - 1]  # the byte before; the whole text takes the end
-    back = np.argsort(bwt, kind="stable")  # row r of the first column comes from row back[r]: the inverse of LF
-    first = np.append(True, bwt[back[1:]] != bwt[back[:-1]])
-    heads = np.flatnonzero(first)
-    cut = first.copy()  # boundaries of the intervals of length one
-    level, new = 1, heads
-    while level < window and len(new):
-        if len(new) * len(heads) * SPARSE > n:
-            number = np.cumsum(cut, dtype=np.int32)[back]
-            wider = cut.copy()
-            wider[1:] |= number[1:] != number[:-1]
-            new = np.flatnonzero(wider != cut)
-            cut = wider
-        else:
-            images = []
-            for h, stop in zip(heads, np.append(heads[1:], n), strict=True):
-                q = h + np.searchsorted(back[h:stop], new)  # the first row of this byte at or after the boundary
-                images.append(q[(q > h) & (q < stop)])
-            q = np.unique(np.concatenate(images))
-            new = q[~cut[q]]
-            cut[new] = True
-        level += 1
+    back = np.argsort(bwt, kind="stable")  # row r of the first column comes from row back[r]
+    lf = np.empty(n, np.int64)
+    lf[back] = np.arange(n)
+    cut = np.append(True, bwt[back[1:]] != bwt[back[:-1]])  # boundaries of the intervals of length one
+    heads, new = np.array([0, n]), np.flatnonzero(cut)
+    for _ in range(1, window):
+        if not len(new):
+            break
+        # the intervals that the new boundaries split, and their parts but the largest of each: a part's rows, one byte
+        # longer, have a boundary beside them wherever the next row comes from outside the part
+        split = np.unique(np.searchsorted(heads, new, "right") - 1)
+        bounds = np.append(np.flatnonzero(cut), n)
+        first, last = np.searchsorted(bounds, heads[split]), np.searchsorted(bounds, heads[split + 1])
+        heads, parts = bounds, _ragged(first, last - first)
+        size = bounds[parts + 1] - bounds[parts]
+        group = np.repeat(np.arange(len(split)), last - first)
+        by = np.lexsort((size, group))
+        small = np.sort(parts[by[np.append(group[1:] == group[:-1], False)]])
+        lo, hi = bounds[small], bounds[small + 1]
+        rows = _ragged(lo, hi - lo)
+        to = lf[rows]
+        left = to[back[to - 1] < np.repeat(lo, hi - lo)]  # row 0 is cut whatever stands at -1
+        after = to + 1
+        right = after[after < n]
+        right = right[back[right] >= np.repeat(hi, hi - lo)[after < n]]
+        found = np.concatenate([left, right])
+        new = np.unique(found[~cut[found]])
+        cut[new] = True
     number = np.empty(n, np.int64)
     number[sa] = np.cumsum(cut)
     return number[at]

@@ -75,10 +75,11 @@ def test_crowded_grams_go_window_by_window(monkeypatch, module):
     rng = np.random.default_rng(1)
     window, dtype = 6, "<u8" if module is suffix_trees else "u1"
     solver = nodes if module is suffix_trees else intervals
-    texts = {int(d): rng.integers(0, 2, 12) for d in range(40)}
-    rows = sorted((int(u[3]) if d % 3 else 5, d, 0, u.astype(dtype).tobytes()) for d, u in texts.items())
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([r[3] for r in rows])], ["gram", "doc", "start", "units"])
-    out = [b for b in repeats.decide(iter([batch.slice(i, 5) for i in range(0, len(rows), 5)]), solver, dtype, window)]
+    texts = {int(d): rng.integers(1, 3, 12) for d in range(40)}
+    # the gram is the unit at place 3; a few contexts stand in grams of their own, which stay small
+    rows = sorted((int(u[3]) + 10 * (d < 6), d, 0, 3, u.astype(dtype).tobytes()) for d, u in texts.items())
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["gram", "doc", "start", "place", "units"])
+    out = [b for b in repeats.decide(iter([batch.slice(i, 5) for i in range(0, len(rows), 5)]), solver, dtype, window, 1)]
     loose = [(d, lo, h) for b in out for d, lo, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True) if h is not None]
     by_hash = defaultdict(set)
     for d, lo, h in loose:
@@ -87,6 +88,33 @@ def test_crowded_grams_go_window_by_window(monkeypatch, module):
     assert len({next(iter(v)) for v in by_hash.values()}) == len(by_hash)
 
 
+@pytest.mark.parametrize("module", [suffix_trees, suffix_array])
+def test_trimmed_contexts_decide_like_all_pairs(module):
+    """Contexts cut off at the ends of texts, equal ones, and ones that differ on either side of the gram."""
+    rng = np.random.default_rng(3)
+    window, gram, dtype = 7, 2, "<u8" if module is suffix_trees else "u1"
+    solver = nodes if module is suffix_trees else intervals
+    for _ in range(30):
+        rows, want = [], defaultdict(set)
+        for d in range(int(rng.integers(2, 30))):
+            before, behind = rng.integers(0, window - gram + 1, 2)
+            u = np.concatenate([rng.integers(1, 3, before), [5, 6], rng.integers(1, 3, behind)])
+            rows.append((1, d, 0, int(before), u.astype(dtype).tobytes()))
+        earlier = set()
+        for _, d, _, _, data in rows:
+            u = np.frombuffer(data, dtype).tolist()
+            for i in range(len(u) - window + 1):
+                if tuple(u[i : i + window]) in earlier:
+                    want[d].update(range(i, i + window))
+                earlier.add(tuple(u[i : i + window]))
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["gram", "doc", "start", "place", "units"])
+        got = defaultdict(set)
+        for b in repeats.decide(iter([batch]), solver, dtype, window, gram):
+            for d, lo, hi in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                got[d].update(range(lo, hi))
+        assert got == want
+
+
 def test_solvers_agree_with_sorting():
     rng = np.random.default_rng(2)
     for window in (2, 5, 13):
