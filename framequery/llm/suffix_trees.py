@@ -1,10 +1,13 @@
 """Substring dedup over words by prefix-partitioned suffix trees.
 
 Suffixes are dealt to groups by a prefix of variable length: the eight words of their anchor gram, or, where a gram has
-more contexts than a group may hold, the whole window of twenty. Each memory-sized group builds the tops of its suffix
-trees level by level, by doubling the prefix that names a node; a node at depth ``window`` with more than one leaf is a
-repeat, and what lies below it need not be built. Only suffixes that share a gram with another text and differ in its
-surroundings reach a tree; repeats with equal surroundings are settled by hash before (see ``repeats``).
+more contexts than a group may hold, the whole window of twenty. Each memory-sized group builds the suffix tree of its
+suffixes: they are sorted by their words, longest common prefixes of neighbours are found by doubling, and an inner node
+is an interval of suffixes with the least common prefix inside as its depth. Inner nodes at ``window`` words or deeper
+are the repeats; of the leaves below such a node all but the earliest start a repeated window. The nodes nearest the
+root hold the leaves of all deeper ones, so their leaves decide; ``inner_nodes`` gives them all, which are the maximal
+repeats to the right. Only suffixes that share a gram with another text and differ in its surroundings reach a tree;
+repeats with equal surroundings are settled by hash before (see ``repeats``).
 
 Defined cases: null and empty texts have no words; texts shorter than the window lose nothing; rows with a null id are
 left whole; rows with the same id are one document (equal texts get equal results); an empty table gives no rows; the
@@ -48,17 +51,49 @@ def pack(units: np.ndarray) -> np.ndarray:
     return units
 
 
-def nodes(units: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The tree node at ``depth`` of the suffix at each place: equal numbers for equal prefixes of that length."""
-    name = np.unique(units, return_inverse=True)[1].astype(np.int64)
-    reach, n = 1, len(units)
+def suffixes(units: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at these places by their first ``depth`` units or more, and the common prefix of each with
+    the one before it in that order (0 for the first; at most what was sorted by)."""
+    n = len(units)
+    name = np.unique(units, return_inverse=True)[1].astype(np.int64) + 1
+    names, reach = [name], 1  # names of prefixes of 1, 2, 4, ... units, in their order; 0 beyond the end
     while reach < depth:
-        step = min(reach, depth - reach)  # the last step overlaps: prefixes of 16 and 16, four apart, name 20 words
-        other = np.full(n, -1, np.int64)
-        other[: n - step] = name[step:]
-        name = np.unique(name * (n + 2) + other + 1, return_inverse=True)[1].astype(np.int64)
-        reach += step
-    return name[at]
+        other = np.zeros(n, np.int64)
+        other[: max(n - reach, 0)] = names[-1][reach:]
+        names.append(np.unique(names[-1] * (n + 2) + other, return_inverse=True)[1].astype(np.int64) + 1)
+        reach *= 2
+    order = np.argsort(names[-1][at], kind="stable")
+    one, two = at[order[1:]], at[order[:-1]]
+    common = np.zeros(len(one), np.int64)
+    for k in range(len(names) - 1, -1, -1):
+        name = np.append(names[k], np.zeros(reach * 2, np.int64))
+        x, y = name[one + common], name[two + common]
+        common += np.where((x == y) & (x > 0), 1 << k, 0)
+    # a suffix that ends before the prefix does shares no more than its length
+    return order, np.append(0, np.minimum(common, n - np.maximum(one, two)))
+
+
+def inner_nodes(common: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(first, end, depth) of the tree's inner nodes of depth ``least`` or more, from the common prefixes of neighbours."""
+    out, open_ = [], []
+    for i in range(1, len(common) + 1):
+        depth, first = int(common[i]) if i < len(common) else 0, i - 1
+        while open_ and open_[-1][1] > depth:
+            first, d = open_.pop()
+            if d >= least:
+                out.append((first, i, d))
+        if depth and (not open_ or open_[-1][1] < depth):
+            open_.append((first, depth))
+    return sorted(out)
+
+
+def nodes(units: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """For the suffix at each place the number of the node nearest the root, of ``depth`` or more, that it lies below; a
+    suffix below none is a leaf with a number of its own."""
+    order, common = suffixes(units, at, depth)
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -11,7 +11,7 @@ from cases import docs, folder, table
 
 from framequery.llm import repeats, suffix_array, suffix_trees
 from framequery.llm.suffix_array import intervals, op6_suffix_array_dedup, suffix_array_dedup
-from framequery.llm.suffix_trees import nodes, op1_substring_dedup, substring_dedup
+from framequery.llm.suffix_trees import inner_nodes, nodes, op1_substring_dedup, substring_dedup, suffixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -130,6 +130,24 @@ def test_solvers_agree_with_sorting():
             assert sorted(got.values()) == sorted(want.values())
 
 
+def test_inner_nodes_are_the_right_maximal_repeats():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 30, 60):
+        t = rng.integers(0, 2, n).astype(np.uint64)
+        at = np.arange(n)
+        order, common = suffixes(t, at, n)
+        assert [t[i:].tolist() for i in at[order]] == sorted(t[i:].tolist() for i in at)
+        want = {}
+        for length in range(1, n):
+            places = defaultdict(list)
+            for i in range(n - length + 1):
+                places[tuple(t[i : i + length])].append(int(t[i + length]) if i + length < n else None)
+            want |= {k: len(v) for k, v in places.items() if len(v) > 1 and len(set(v)) > 1}
+        for least in (1, 3):
+            got = {tuple(t[at[order[i]] :][:d]): j - i for i, j, d in inner_nodes(common, least)}
+            assert got == {k: v for k, v in want.items() if len(k) >= least}
+
+
 def test_defined_cases(spark):
     long = " ".join(f"w{i % 997}" for i in range(30_000))
     rows = [(None, long, 1), (1, None, 2), (2, "", 3), (3, long, 4), (4, long, 5), (4, long, 6), (5, "x", 7)]
