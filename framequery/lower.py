@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from framequery.errors import DtError, unknown_columns
 from framequery.expr import AGGREGATES, Coalesce, Col, Cut, EachPrior, Expr, If, Lit, Op, Row, Scan, Stat, Win, Xbar, columns_of, has_window
 from framequery.functions import numbers as N
+from framequery.functions.quantiles import percentiles
 
 RID = "__rid"
 
@@ -184,6 +185,12 @@ class Lower:
         # one row for the whole table, computed once: no single-partition window over all rows
         return self.s.df.agg(c.alias("v")).scalar()
 
+    def _shares(self, f: Column, shares: list[float]) -> Column:
+        """The quantiles of f at the shares, as an array."""
+        if self.s.mode == "row":
+            return percentiles(self.s.df, f, shares).scalar()
+        return self._over(F.percentile(f, F.array(*map(F.lit, shares))))
+
     def _inner(self, n: Expr) -> Column:
         return self.column(n)
 
@@ -235,11 +242,13 @@ class Lower:
             raise DtError("quantile-non-numeric", f"quantiles need numbers, not {kind.simpleString()}", type=kind.simpleString())
         f = N.finite(x)
         if n.name == "md":
-            return self._over(F.percentile(f, F.lit(0.5)))
+            return self._shares(f, [0.5])[0] if self.s.mode == "row" else self._over(F.percentile(f, F.lit(0.5)))
         p = n.args[1].value if isinstance(n.args[1], Lit) else None
         clip = lambda v: min(max(float(v), 0.0), 1.0)
-        share = F.array(*[F.lit(clip(v)) for v in p]) if isinstance(p, tuple) else F.lit(clip(p))
-        out = self._over(F.percentile(f, share))
+        if isinstance(p, tuple):
+            out = self._shares(f, [clip(v) for v in p])
+        else:
+            out = self._shares(f, [clip(p)])[0] if self.s.mode == "row" else self._over(F.percentile(f, F.lit(clip(p))))
         if len(n.args) > 2:
             out = F.when(self._over(F.count(f)) >= n.args[2].value, out)
         return out
@@ -268,7 +277,7 @@ class Lower:
             return F.try_divide(x - self._over(F.avg(x)), self._over(F.stddev_samp(x)))
         p = float(n.args[1].value)
         f = N.finite(x)
-        ends = self._over(F.percentile(f, F.array(F.lit(min(p, 1 - p)), F.lit(max(p, 1 - p)))))
+        ends = self._shares(f, [min(p, 1 - p), max(p, 1 - p)])
         # the middle one of the lower end, x and the upper end
         return F.when(x.isNotNull(), F.coalesce(F.get(F.sort_array(F.concat(ends, F.array(x))), F.lit(1)), x))
 
@@ -277,7 +286,7 @@ class Lower:
         ref = N.finite(x)
         if n.within is not None:
             ref = F.when(F.coalesce(self.column(n.within).cast("boolean"), F.lit(False)), ref)
-        return bins(x, self._over(F.percentile(ref, shares(n.n))), n.n, self.s.mode != "row")
+        return bins(x, self._shares(ref, [i / n.n for i in range(1, n.n)]), n.n, self.s.mode != "row")
 
     def _xbar(self, n: Xbar) -> Column:
         return xbar_column(self.column(n.arg), self.kind(self.column(n.arg)), n.width, n.unit)

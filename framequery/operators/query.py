@@ -22,6 +22,7 @@ from framequery.errors import DtError, unknown_columns
 from framequery.expr import Col, Expr, Op, Win, Xbar, columns_of, expression, has_window, rewrite, walk
 from framequery.expr import xbar as xbar_node
 from framequery.functions import numbers as N
+from framequery.functions.quantiles import percentiles
 from framequery.lower import RID, Lower, Order, Scope, bins, order_columns, quoted, shares, window_forbidden, xbar_column
 from framequery.operators.whole import derive_whole, spreadable
 
@@ -328,8 +329,7 @@ def _qtile(df: DataFrame, q: Qtile, exact: list[str]) -> DataFrame:
         over = W.partitionBy(*map(quoted, exact))
         breaks, present = F.percentile(N.finite(ref), shares(q.n)).over(over), F.count(ref).over(over)
     else:
-        one = df.agg(F.struct(F.percentile(N.finite(ref), shares(q.n)).alias("b"), F.count(ref).alias("n")).alias("v")).scalar()
-        breaks, present = one["b"], one["n"]
+        breaks, present = percentiles(df, N.finite(ref), [i / q.n for i in range(1, q.n)]).scalar(), df.agg(F.count(ref).alias("n")).scalar()
     return df.withColumn(q.name, F.when(present >= q.n, bins(x, breaks, q.n, bool(exact))).when(x.isNotNull(), F.lit(1)).cast("int"))
 
 
