@@ -29,18 +29,20 @@ def _unsupported(ext: str | None, known: tuple) -> DtError:
     return DtError("unsupported-format", f"{ext or 'no extension'}: supported are {', '.join(known)}", extension=ext, supported=list(known))
 
 
-def _listed(options: dict, kind: str) -> list[str] | None:
-    for k in (f"column_{kind}list", f"column-{kind}list"):
-        if options.get(k) is not None:
-            v = options[k]
-            return [str(x).lstrip(":") for x in ([v] if isinstance(v, str) else v)]
-    return None
+def parquet_options(options: dict) -> dict:
+    """Options under names with underscores, the column lists as lists of plain names."""
+    out = {}
+    for k, v in options.items():
+        k = str(k).lstrip(":").replace("-", "_")
+        out[k] = [str(x).lstrip(":") for x in ([v] if isinstance(v, str) else v)] if k.startswith("column_") and v is not None else v
+    return out
 
 
 def _pruned(df: DataFrame, options: dict) -> DataFrame:
     """Only wanted columns, so that the scan reads no others."""
-    allow = _listed(options, "allow") or _listed(options, "white")
-    block = _listed(options, "block") or _listed(options, "black")
+    options = parquet_options(options)
+    allow = options.get("column_allowlist") or options.get("column_whitelist")
+    block = options.get("column_blocklist") or options.get("column_blacklist")
     if allow is not None:
         df = df.select(*[quoted(c) for c in df.columns if c in allow])
     if block is not None:
@@ -152,26 +154,40 @@ def write(df: DataFrame, path: str, *, separator: str | None = None, single: boo
         df.write.mode("overwrite").options(**opts).format(kind).save(path)
         return
     folder = f"{path}.{uuid.uuid4().hex}"
-    df.coalesce(1).write.options(**opts).format(kind).save(folder)
-    _one_file(df.sparkSession, folder, path, array=ext == "json")
+    if ext == "json":  # a JSON document is one array
+        lines = df.coalesce(1).select(F.to_json(F.struct(*map(quoted, df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+        lines.mapInArrow(_bracketed, "value string").write.options(**({"compression": gz} if gz else {})).text(folder)
+    else:
+        df.coalesce(1).write.options(**opts).format(kind).save(folder)
+    _one_file(df.sparkSession, folder, path, nothing=b"[]" if ext == "json" else None)
 
 
-def _one_file(spark: SparkSession, folder: str, path: str, array: bool) -> None:
-    """Give the only part file its name, through the file system that holds it."""
+def _bracketed(batches):
+    """Lines of objects as the lines of one array."""
+    import pyarrow as pa
+
+    some = False
+    for b in batches:
+        lines = b.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([("," if some or i else "[") + x for i, x in enumerate(lines)], pa.string())], ["value"])
+        some = some or bool(lines)
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if some else "[]"], pa.string())], ["value"])
+
+
+def _one_file(spark: SparkSession, folder: str, path: str, nothing: bytes | None) -> None:
+    """Give the only part file its name, through the file system that holds it; without one the file holds ``nothing``."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path
     fs = at(folder).getFileSystem(conf)
     part = next((x.getPath() for x in fs.listStatus(at(folder)) if x.getPath().getName().startswith("part-")), None)
     fs.delete(at(path), True)
-    if array:  # a JSON document is one array
-        rows = [r["value"] for r in spark.read.text(folder).collect()] if part is not None else []
-        out = fs.create(at(path), True)
-        data = ("[" + ",\n".join(rows) + "]").encode()
+    if part is None and nothing is not None:
         if path.endswith(".gz"):
             import gzip
 
-            data = gzip.compress(data)
-        out.write(data, 0, len(data))
+            nothing = gzip.compress(nothing)
+        out = fs.create(at(path), True)
+        out.write(nothing, 0, len(nothing))
         out.close()
     elif part is not None:
         fs.rename(part, at(path))
@@ -183,10 +199,3 @@ def from_rows(spark: SparkSession, columns: dict[str, list], schema: str | None
     names = list(columns)
     rows = list(zip(*columns.values(), strict=True))
     return spark.createDataFrame(rows, schema or names)
-
-
-def parquet_options(options: dict) -> dict:
-    """Options with the column lists as lists of names."""
-    return {k: ([str(x).lstrip(":") for x in ([v] if isinstance(v, str) else v)] if k.replace("-", "_").startswith("column_") else v) for k, v in options.items()}
-
-
