@@ -36,13 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framequery.llm.common import lean
+from framequery.llm.memo import grouped
+
 CLASSES, SPAN, DECAY = 40, 8, 0.6
 START, END, DIGIT, LETTER, SIGN, ACCENTED = 27, 28, 29, 30, 31, 32
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 4800
 LANDMARKS, NEGATIVES = 512, 9000
 #: Margins stop there; the margin of no word at all.
 EMPTY = -1.0
-MEMO_WORDS = 200_000
+#: Tokens whose margins a task remembers, in each of two generations, and characters of text that are looked up together.
+MEMO_WORDS, CHARS = 150_000, 500_000
 FOLDS, TURNS = 5, 4
 STRIP = ".,!?;:#$%&*|\"'()[]{}<>"
 PAIRS = [(j, k) for j in range(1, SPAN) for k in range(j + 1, SPAN)]
@@ -156,9 +160,11 @@ class Machine:
     def token_margins(self, found: list[str]) -> np.ndarray:
         """A token's margin; with signs or digits inside, the higher of it and of its letters."""
         plain = [_plain(t) for t in found]
-        bare = [_letters(w) if not w.isalpha() else w for w in plain]
-        m = np.maximum(margins(plain, self.weights, self.bias), margins(bare, self.weights, self.bias))
-        return np.where([bool(w) for w in plain], m, EMPTY)
+        bare = [w if w.isalpha() else _letters(w) for w in plain]
+        place = {w: i for i, w in enumerate(dict.fromkeys([*plain, *bare]))}  # each form once
+        m = margins(list(place), self.weights, self.bias)
+        both = np.maximum(m[[place[w] for w in plain]], m[[place[w] for w in bare]]) if found else np.zeros(0)
+        return np.where([bool(w) for w in plain], both, EMPTY)
 
     def score(self, margin: float) -> float:
         if self.constant is not None:
@@ -308,36 +314,52 @@ def fitted(docs: DataFrame, labels: DataFrame, train: tuple[int, int] = (TRAIN_T
         sample = [(t, w.split("\n") if w else []) for b in batches for t, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample))], pa.binary())], ["machine"])
 
+    lean(docs.sparkSession)
     one = training_sample(docs, labels, train).repartition(1).sortWithinPartitions("doc_id", "words")
     found = one.mapInArrow(learn, "machine binary").collect()
     return pickle.loads(found[0]["machine"]) if found else fit([])
 
 
-def best_margins(texts: pa.Array, m: Machine, memo: dict[str, float]) -> np.ndarray:
+class Known:
+    """Margins of tokens in two generations, so that words in use stay."""
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+        self.young: dict[str, float] = {}
+        self.old: dict[str, float] = {}
+
+    def learn(self, words: set[str]) -> dict[str, float]:
+        new = words.difference(self.young)
+        if len(self.young) > MEMO_WORDS:
+            self.old, self.young, new = self.young, {}, words
+        held = {w: self.old[w] for w in new if w in self.old}
+        self.young.update(held)
+        rest = [w for w in new if w not in held]
+        self.young.update(zip(rest, self.machine.token_margins(rest).tolist(), strict=True))
+        return self.young
+
+
+def best_margins(texts: pa.Array, known: Known) -> np.ndarray:
     """The highest margin of each text's tokens."""
-    best = np.full(len(texts), EMPTY)
-    for row, text in enumerate(texts):
-        found = set(tokens(text.as_py() or ""))
-        new = [w for w in found if w not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(found)
-            memo.update(zip(new, m.token_margins(new).tolist(), strict=True))
-        if found:
-            best[row] = max(map(memo.__getitem__, found))
-    return best
+    best = []
+    for part in grouped((x.as_py() or "" for x in texts), CHARS):
+        found = [set(tokens(t)) for t in part]
+        get = known.learn(set().union(*found)).__getitem__
+        best += [max(map(get, ws)) if ws else EMPTY for ws in found]
+    return np.array(best, float)
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted and ``margin`` of every whole text."""
+    lean(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)  # CLASSES ** 3 floats: 128 KB, whatever the input
     kind = dict(docs.dtypes)[id_col]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memo = held.value, {}
+        m = held.value
+        known = Known(m)
         for b in batches:
-            best = best_margins(b.column(1), m, memo)
+            best = best_margins(b.column(1), known)
             s = np.array([m.score(x) for x in best])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(best)], ["doc_id", "score", "predicted", "margin"])
 
@@ -347,12 +369,14 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
 
 def clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, all columns. Rows are tested where they are: nothing moves."""
+    lean(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memo = held.value, {}
+        m = held.value
+        known = Known(m)
         for b in batches:
-            best = best_margins(b.column(at), m, memo)
+            best = best_margins(b.column(at), known)
             yield b.filter(pa.array([m.score(x) < 0.5 for x in best], pa.bool_()))
 
     at = docs.columns.index(text_col)
