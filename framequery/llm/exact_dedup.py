@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequery.llm.bloom import MAX_BITS, filter_bits, tested
-from framequery.llm.common import hot_join, normal_text, written
+from framequery.llm.common import hot_join, normal_text, shielded, written
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -31,9 +31,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns."""
+    """The rows of docs that stay, all columns, under any names."""
+    names = docs.columns
+    docs, (id_col, text_col) = shielded(docs, id_col, text_col)
     keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]), "left_semi")
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]), "left_semi").toDF(*names)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

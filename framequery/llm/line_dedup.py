@@ -16,7 +16,8 @@ documents that lose nothing out of the last shuffle.
 
 Defined cases: null text stays null and has no line; an empty text is one empty line; a text of one line stays; rows
 with a null id are left as they are; rows with the same id are one document, and lose the same chunks; an empty table
-gives no rows; only the id and text columns are looked at, all others are carried along.
+gives no rows; only the id and text columns are looked at, all others are carried along under any
+names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequery.llm.bloom import MAX_BITS, filter_bits, tested
-from framequery.llm.common import hot_join, written
+from framequery.llm.common import hot_join, shielded, written
 
 EVERY = 3
 
@@ -96,6 +97,8 @@ def _met(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> tuple[
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines of repeated pairs of lines, and __n_lines, __n_removed added."""
+    names = [*docs.columns, "__n_lines", "__n_removed"]
+    docs, (id_col, text_col) = shielded(docs, id_col, text_col)
     # place and hash as one string: sets of strings are hashed, sets of structs are compared one by one
     key = lambda k, h: F.concat_ws(":", k.cast("string"), h.cast("string"))
     gone = repeated_chunks(_exploded_pairs(docs, id_col, text_col)).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(key(F.col("k"), F.col("h"))).alias("__gone"))
@@ -108,11 +111,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cut = cut.withColumn("__n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long")).withColumn("__n_removed", F.coalesce(F.col("__n_lines") - F.size("__left"), F.lit(0)).cast("long"))
     cut = cut.withColumn(text_col, F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n"))
     cols = [*docs.columns, "__n_lines", "__n_removed"]
-    return cut.select(*cols).unionByName(clean.select(*cols))
+    return cut.select(*cols).unionByName(clean.select(*cols)).toDF(*names)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``line_dedup`` with the columns of docs alone, whatever their names."""
+    named, (own_id, own_text) = shielded(docs, id_col, text_col)
+    return line_dedup(named, own_id, own_text).select(*named.columns).toDF(*docs.columns)
 
 
 def chunk_dedup(docs: DataFrame, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated chunks of the rolling hash taken out of the text, and __n_lines, __n_removed added."""
+    names = [*docs.columns, "__n_lines", "__n_removed"]
+    docs, (id_col, text_col) = shielded(docs, id_col, text_col)
     gone = repeated_chunks(_exploded(docs, every, id_col, text_col)).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k", "h")).alias("__gone"))
     hit, clean = _met(docs, gone, id_col, text_col)
     cut = chunked(hit, every, text_col)
@@ -121,7 +132,7 @@ def chunk_dedup(docs: DataFrame, every: int = EVERY, id_col: str = "doc_id", tex
     cut = cut.withColumn("__n_removed", (F.col("__n_lines") - F.aggregate("__left", F.lit(0), lambda a, c: a + c["n"])).cast("long")).withColumn(text_col, F.array_join(F.transform("__left", lambda c: c["text"]), "\n"))
     cut = cut.withColumn("__n_lines", F.col("__n_lines").cast("long"))
     cols = [*docs.columns, "__n_lines", "__n_removed"]
-    return cut.select(*cols).unionByName(clean.select(*cols))
+    return cut.select(*cols).unionByName(clean.select(*cols)).toDF(*names)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

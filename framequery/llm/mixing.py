@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framequery.llm.common import prefix_sums, words, written
+from framequery.llm.common import prefix_sums, shielded, words, written
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -57,10 +57,12 @@ def copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The mix itself: each row of docs as many times as it is copied, all columns."""
+    names = docs.columns
+    docs, (id_col, text_col, source_col) = shielded(docs, id_col, text_col, source_col)
     kept = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix")
     sizes = written(kept.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(text_col)).cast("long").alias("size"), "__row"), "sizes")
     n = copies(sizes, **kw).where("copies > 0").select("__row", "copies")
-    return kept.join(n, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return kept.join(n, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns).toDF(*names)
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequery.llm.common import written
+from framequery.llm.common import lean, written
 
 #: Characters a chunk; a document of up to twice as many is encoded in one go.
 CHUNK = 1 << 15
@@ -273,6 +273,7 @@ def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     """docs' id as doc_id, ``ids`` (little-endian u16, binary; null for null text), ``decoded`` (the ids decoded) and
     ``scanned`` (whether a giant document took the scan)."""
     spark = docs.sparkSession
+    lean(spark)
     longest = model(model_file).longest
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     giant = F.length("text") > 2 * size

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framequery.llm.common import new_path, written
+from framequery.llm.common import lean, new_path, written
 from framequery.llm.memo import Memo, grouped
 
 MAGIC = b"FQTOKEN1"
@@ -215,6 +215,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "do
     """Encode and write; returns the manifest (part, stem, n_docs, n_tokens, base), one row a file."""
     from tokenizers import Tokenizer
 
+    lean(docs.sparkSession)
     dtype = "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     end = np.asarray([end_id], dtype).tobytes()
     item = np.dtype(dtype).itemsize

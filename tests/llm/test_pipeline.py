@@ -5,12 +5,15 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
-from cases import folder
+import pytest
+from cases import folder, table
 from test_near_dedup import brute
 
 import corpus_pipeline
 from framequery.llm import line_dedup, mixing, toxicity
 
+CLASHING = ["__lines", "__gone", "__id", "__row", "__copy", "__n_lines", "rep", "key", "size", "copies"]
+
 
 def test_run(spark, tmp_path):
     import sentencepiece
@@ -33,3 +36,24 @@ def test_run(spark, tmp_path):
         want[d, len(ids), zlib.crc32(np.asarray(ids, "<u2").tobytes())] += n
     got = Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want and len(kept) < len(lined)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_cases(spark, tmp_path, stage):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table, further columns with an operator's
+    own names: rows that nothing speaks against stay, with all their columns."""
+    folder(spark, str(tmp_path), 9, 40)
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` int" for c in CLASHING)
+    extra = tuple(range(len(CLASHING)))
+    rows = [(None, "no id at all", None, None, None, *extra), (7001, None, "en", "web", 0, *extra), (7002, "", "en", None, 0, *extra), (7003, "good words\nin lines " * 9000, "en", "web", 1, *extra)]
+    rows += [(7004, "the same row twice", "en", "web", 1, *extra)] * 2
+    f = dict(corpus_pipeline.STAGES)[stage]
+    docs = table(spark, rows, schema)
+    out = f(spark, docs, str(tmp_path)).collect()
+    if stage == "sentencepiece":
+        assert len(out) == len(rows) and {r["n_tokens"] for r in out if r["doc_id"] in (7001, 7002)} == {0}
+    elif stage == "mixing":
+        assert {r["doc_id"] for r in out} <= {r[0] for r in rows} and all(tuple(r)[5:] == extra for r in out)
+    else:
+        assert sorted(map(str, (r["doc_id"] for r in out))) == sorted(str(r[0]) for r in rows) and all(tuple(r)[5:] == extra for r in out)
+    assert f(spark, table(spark, [], schema), str(tmp_path)).count() == 0

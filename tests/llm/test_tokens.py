@@ -1,5 +1,7 @@
 """Token files and SentencePiece against the libraries."""
 
+import hashlib
+import json
 import random
 import zlib
 
@@ -89,3 +91,33 @@ def test_sentencepiece_operator(spark, model):
         if r["ids"] is not None:
             assert np.frombuffer(r["ids"], "<u2").tolist() == model.sp.encode(bytes(r["decoded"]).decode())
     assert pieces.encoded(table(spark, []), PIECES).count() == 0
+
+
+def test_sentencepiece_query(spark, tmp_path, model):
+    """The query's digests against the library, on whole texts."""
+    found = folder(spark, str(tmp_path), 12, 70)
+    got = {r["doc_id"]: r for r in pieces.op9_sentencepiece(spark, str(tmp_path)).collect()}
+    assert set(got) == set(found)
+    for d, t in found.items():
+        ids = model.sp.encode(t or "")
+        assert (got[d]["n_tokens"], got[d]["ids_crc32"]) == (len(ids), zlib.crc32(np.asarray(ids, "<u2").tobytes())), d
+        assert got[d]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() and got[d]["n_decoded_bytes"] == len((t or "").encode())
+
+
+def test_long_words_and_other_tokenizers(library, tmp_path):
+    """Words of any length go through the model; a file with other settings is left to the library whole."""
+    w = token_files.WordIds(WORDS, "<u2")
+    assert w.known
+    for t in ["a" * 40, "a" * 41, "xyz" * 500, "q" * 5000 + " end"]:
+        assert np.frombuffer(next(w.encode([t.encode()])), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    with open(WORDS, encoding="utf-8") as f:
+        other = json.load(f)
+    other["normalizer"] = {"type": "NFC"}
+    with open(tmp_path / "other.json", "w", encoding="utf-8") as f:
+        json.dump(other, f)
+    from tokenizers import Tokenizer
+
+    o, lib = token_files.WordIds(str(tmp_path / "other.json"), "<u2"), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not o.known
+    for t in ["Upper and lower", "", None, "don't"]:
+        assert np.frombuffer(next(o.encode([None if t is None else t.encode()])), "<u2").tolist() == lib.encode(t or "", add_special_tokens=False).ids
