@@ -12,11 +12,15 @@ Of its neighbours in a tree each representative takes the one most alike as cand
 if the full sets reach the similarity, in integers. In a second round, among the representatives that had any candidate,
 only neighbours in other components than one's own count, and the three most alike are taken in each tree (REACH).
 
+WINDOW, REACH and the dealing of crowded regions only order the work. What they leave out is marked: the rows of a
+region that have others beyond WINDOW, all rows of crowded regions, and the rows whose candidates in other components exceeded
+REACH in the last round. Regions that share a marked row form a group, and in each group that still has several components all pairs
+of marked rows of different components are compared on full sets (``rest_links``), in blocks dealt to tasks. So every pair
+that shares a region and looks alike is either in one component already or compared in full.
+
 What can be missed: a pair at similarity 0.8 shares no region in any tree with a chance of about 1 in 20 million, and
-its signatures look too unlike (SLACK) with one of about 1 in 300,000, if the minima are independent; a link within a
-region of more than WINDOW rows, if its ends are far apart in every tree's order and nothing else joins their
-components; one whose ends have nearer neighbours in every tree and round. In a family of 3,496 near copies with 1,329,101
-links, 2,160 of 2,161 linked texts got their component (the first round alone: 2,151). Equal 64-bit shingle hashes count as equal shingles.
+its signatures look too unlike (SLACK) with one of about 1 in 300,000, if the minima are independent. Equal 64-bit
+shingle hashes count as equal shingles.
 
 Defined cases: null, empty or wordless text has an empty set and is linked with nothing; null ids are linked with
 nothing and kept; rows with the same id are one node; a text with fewer words than a shingle is one shingle; very long
@@ -45,6 +49,10 @@ LEVELS, FAR = (OWN, 8, 12), 4
 WINDOW = 96
 #: Neighbours in each tree that become candidates, by round; from the second round on only those in other components.
 REACH = (1, 3)
+#: Rows of a block of ``rest_links`` until a side has BLOCKS blocks, and bytes of sets that no usual block exceeds.
+BLOCK, BLOCKS, BLOCK_BYTES = 512, 32, 4 << 20
+#: Rows and shingles that are multiplied at once.
+STRIP, COLUMNS = 512, 4096
 #: Signatures look alike if at most so many of the HASHES two-bit values differ: at similarity 0.8, 4.5 deviations more than the mean.
 SLACK = int(HASHES * 0.15 + 4.5 * (HASHES * 0.15 * 0.85) ** 0.5)
 #: A region is crowded if it has over a CROWD-th of all representatives: at most CROWD * TREES * len(LEVELS) are.
@@ -175,9 +183,24 @@ def _dealt(batches: Iterator[pa.RecordBatch], crowded: np.ndarray) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(far.reshape(-1).view(np.int64)), each("rep"), each("comp"), each("n").cast(pa.int32()), look], ["key", "far", "rep", "comp", "n", "look"])
 
 
-def _near(batches: Iterator[pa.RecordBatch], reach: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of _dealt -> candidate pairs (a, b). Keeps the last WINDOW rows at most."""
+def _crowd(batches: Iterator[pa.RecordBatch], crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(rep, sig) -> a mark (rep, region) for each crowded region of a row."""
+    for b in batches:
+        for part, sig in _rows(b, "sig"):
+            key = _keys(sig)[1][0]
+            row, tree = np.nonzero(np.isin(key, crowded))
+            yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row)), pa.array(key[row, tree].view(np.int64))], ["rep", "region"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], reach: int, percent: int, window: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of _dealt -> candidate pairs (a, b, null), and marks (a, null, region) of the rows with pairs left out:
+    beyond the window, or in the last round beyond ``reach``. Keeps the last ``window`` + 1 rows at most."""
     held: dict[str, np.ndarray] | None = None
+
+    def marks(rep, key, rows):
+        rows = np.unique(rows)
+        return pa.RecordBatch.from_arrays([pa.array(rep[rows], kind), pa.nulls(len(rows), kind), pa.array(key[rows], pa.int64())], ["a", "b", "region"])
+
     for b in batches:
         if not b.num_rows:
             continue
@@ -193,12 +216,16 @@ def _near(batches: Iterator[pa.RecordBatch], reach: int, percent: int) -> Iterat
         key, rep, comp, n, look = (now[c] for c in ("key", "rep", "comp", "n", "look"))
         left, right, gap = [], [], []
         i = np.arange(len(key))
-        for lag in range(1, WINDOW + 1):
+        for lag in range(1, window + 2):
             i = i[: np.searchsorted(i, len(key) - lag)]
             i = i[key[i + lag] == key[i]]
             if not len(i):
                 break
             x = i[i + lag >= before] if before else i
+            if lag > window:
+                if len(x):
+                    yield marks(rep, key, np.concatenate([x, x + lag]))
+                break
             x = x[comp[x] != comp[x + lag]]
             y = x + lag
             fits = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64)
@@ -220,24 +247,27 @@ def _near(batches: Iterator[pa.RecordBatch], reach: int, percent: int) -> Iterat
                 take = np.zeros(len(x), bool)
                 take[order[rank < reach] % len(x)] = True
                 a, c = rep[x[take]], rep[y[take]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c), kind), pa.array(np.maximum(a, c), kind)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c), kind), pa.array(np.maximum(a, c), kind), pa.nulls(len(a), pa.int64())], ["a", "b", "region"])
+                if last and not take.all():
+                    yield marks(rep, key, np.concatenate([x[~take], y[~take]]))
         keep = max(int(np.searchsorted(np.flip(key) != key[-1], True)), 1)
-        keep = min(keep, WINDOW)
+        keep = min(keep, window + 1)
         held = {c: v[-keep:].copy() for c, v in now.items()}
 
 
-def candidates(reps: DataFrame, crowded: np.ndarray, reach: int, percent: int) -> DataFrame:
-    """The distinct candidate pairs (a, b), a < b, of reps (rep, n, comp, sig)."""
+def candidates(reps: DataFrame, crowded: np.ndarray, reach: int, percent: int, last: bool) -> DataFrame:
+    """The distinct candidate pairs (a, b, null), a < b, and marks (a, null, region) of reps (rep, n, comp, sig)."""
+    window = WINDOW
     kind = dict(reps.dtypes)["rep"]
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = reps.mapInArrow(lambda it: _dealt(it, crowded), f"key long, far long, rep {kind}, comp {kind}, n int, look binary")
     rows = rows.repartition(parts, "key").sortWithinPartitions("key", "far", "rep")
-    return rows.mapInArrow(lambda it: _near(it, reach, percent), f"a {kind}, b {kind}").distinct()
+    return rows.mapInArrow(lambda it: _near(it, reach, percent, window, last), f"a {kind}, b {kind}, region long").distinct()
 
 
-def full_sets(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, s): the full sets of the documents in a pair, eight bytes a shingle, written."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids", few=True)
+def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, s): the full sets of the documents of ids (doc_id), eight bytes a shingle, written."""
+    ids = written(ids.distinct(), "ids", few=True)
     own = tested(docs, "doc_id", ids, filter_bits(ids.count())).where("maybe").select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -274,25 +304,140 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(check, f"a {kind}, b {kind}")
 
 
+def _joined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (group, i, j, block, comp, s) sorted by (group, i, j) -> (a, b): for each component that links of full sets between
+    the blocks i and j join to others, the least of these."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        names, low = np.unique(t["comp"].to_numpy(), return_inverse=True)
+        own, low = low, np.arange(len(names))
+        block, i, j = t["block"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+
+        def strips(which: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            rows, out = np.flatnonzero(block == which), []
+            for at in range(0, len(rows), STRIP):
+                part = rows[at : at + STRIP]
+                out.append((part, np.concatenate([found[r] for r in part]), np.repeat(np.arange(len(part)), size[part])))
+            return out
+
+        left = strips(i)
+        right = left if i == j else strips(j)
+        for at, (x, some, of_x) in enumerate(left):
+            for y, others, of_y in right[at:] if i == j else right:
+                apart = low[own[x]][:, None] != low[own[y]]
+                if not apart.any():
+                    continue
+                both = np.intersect1d(some, others)
+                common = np.zeros((len(x), len(y)), np.float32)  # whole numbers far below 2 ** 24
+                for c in range(0, len(both), COLUMNS):
+                    sides = []
+                    for n, tokens, of in ((len(x), some, of_x), (len(y), others, of_y)):
+                        place = np.minimum(np.searchsorted(both[c : c + COLUMNS], tokens), len(both[c : c + COLUMNS]) - 1)
+                        hit = both[c : c + COLUMNS][place] == tokens
+                        m = np.zeros((n, len(both[c : c + COLUMNS])), np.float32)
+                        m[of[hit], place[hit]] = 1
+                        sides.append(m)
+                    common += sides[0] @ sides[1].T
+                common = common.astype(np.int64)
+                p, q = np.nonzero(apart & (100 * common >= percent * (size[x][:, None] + size[y] - common)))
+                p, q = own[x[p]], own[y[q]]
+                while (low[p] != low[q]).any():
+                    p, q = low[p], low[q]
+                    least = np.minimum(p, q)
+                    np.minimum.at(low, p, least)
+                    np.minimum.at(low, q, least)
+                    while (low[low] != low).any():
+                        low = low[low]
+        new = np.flatnonzero(low != np.arange(len(low)))
+        kind = t.schema.field("comp").type
+        return pa.RecordBatch.from_arrays([pa.array(names[low[new]], kind), pa.array(names[new], kind)], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            now = tuple(key[:, lo].tolist())
+            if held and now != last:
+                yield solve(pa.Table.from_batches(held))
+                held = []
+            last = now
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield solve(pa.Table.from_batches(held))
+
+
+def rest_links(marks: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between components of labels (node, comp) by all pairs of marked rows (rep, region) of a group, the
+    regions that share rows. A side of a group, its largest component or the other rows, is dealt evenly to blocks;
+    each block of other rows meets every block of both sides in a task of its own. None if no group has two components."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marks = written(marks.distinct(), "marks", few=True)
+    hubs = marks.groupBy("region").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    tied = hot_join(marks, hubs, "region", "size", marks.count()).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    groups = components(tied).select("node", F.col("comp").alias("group"))
+    members = groups.join(labels.hint("merge"), "node", "left").select(F.col("node").alias("doc_id"), "group", F.coalesce("comp", "node").alias("comp"))
+    shares = members.groupBy("group", "comp").count()
+    several = shares.groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("group", "main", "size")
+    several = written(several, "groups", few=True)
+    dropped(marks)
+    if not several.limit(1).count():
+        return None
+    total = several.agg(F.sum("size")).first()[0]
+    own = written(hot_join(members, several, "group", "size", total).select("doc_id", "group", "comp", (F.col("comp") == F.col("main")).alias("inner")), "members", few=True)
+    sets = full_sets(own.select("doc_id"), docs, width)
+    rows = written(own.join(sets.hint("merge"), "doc_id"), "members")
+    blocks = lambda inner: F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.sum(F.when(inner, 1)) / BLOCK)), F.ceil(F.sum(F.when(inner, F.length("s"))) / BLOCK_BYTES))
+    sides = rows.groupBy("group").agg(blocks(F.col("inner")).alias("ins"), blocks(~F.col("inner")).alias("outs"), F.count(F.lit(1)).alias("size"))
+    dealt = hot_join(rows, sides, "group", "size", rows.count())
+    even = F.xxhash64("doc_id", "s")
+    dealt = dealt.withColumn("block", F.when(F.col("inner"), F.pmod(even, "ins")).otherwise(F.col("ins") + F.pmod(even, "outs")))
+    met = F.when(F.col("inner"), F.sequence("ins", F.col("ins") + F.col("outs") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("ins") + F.col("outs") - 1))
+    dealt = dealt.withColumn("other", F.explode(met)).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    kind = dict(labels.dtypes)["comp"]
+    dealt = dealt.select("group", "i", "j", "block", "comp", "s").repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    out = written(dealt.mapInArrow(lambda it: _joined(it, percent), f"a {kind}, b {kind}"), "links", few=True)
+    dropped(several, own, sets, rows)
+    return out
+
+
 def forest_links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
     """The components (node, comp) of the links among reps (rep, n, sig); None without any."""
+
+    def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return found.where(F.col("b").isNotNull()).select("a", "b"), found.where(F.col("b").isNull()).select(F.col("a").alias("rep"), "region")
+
+    kind = dict(reps.dtypes)["rep"]
     crowded = _crowded(reps, reps.count())
-    tried = written(candidates(reps.withColumn("comp", F.col("rep")), crowded, REACH[0], percent), "pairs")
-    if not tried.limit(1).count():
+    found = written(candidates(reps.withColumn("comp", F.col("rep")), crowded, REACH[0], percent, len(REACH) == 1), "pairs")
+    if not found.limit(1).count() and not len(crowded):
         return None
-    sets = full_sets(tried, docs, width)
+    tried, beyond = split(found)
+    if len(crowded):
+        beyond = beyond.unionByName(reps.select("rep", "sig").mapInArrow(lambda it: _crowd(it, crowded), f"rep {kind}, region long"))
+    sets = full_sets(tried.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width)
     links = written(confirmed(tried, sets, percent).distinct(), "links", few=True)
-    labels = components(links)
+    labels, left = components(links), beyond
     family = written(reps.join(sets.select(F.col("doc_id").alias("rep")).distinct().hint("merge"), "rep", "left_semi"), "family")
-    for reach in REACH[1:]:
+    for k, reach in enumerate(REACH[1:], 2):
         named = family.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        more = written(candidates(named, crowded, reach, percent).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        more, cut = split(written(candidates(named, crowded, reach, percent, k == len(REACH)), "pairs"))
+        left = beyond.unionByName(cut)
+        more = more.join(tried.hint("merge"), ["a", "b"], "left_anti")
         new = written(confirmed(more, sets, percent).distinct(), "links", few=True)
-        if not new.limit(1).count():
-            dropped(more, new)
-            break
-        links, tried = written(links.unionByName(new), "links", few=True), tried.unionByName(more)  # not dropped: read by the next round
-        labels = components(links)
+        if new.limit(1).count():
+            links, tried = written(links.unionByName(new), "links", few=True), tried.unionByName(more)  # not dropped: read by the next round
+            labels = components(links)
+    if left.limit(1).count():
+        new = rest_links(left, labels, docs, width, percent)
+        if new is not None and new.limit(1).count():
+            labels = components(links.unionByName(new))
     dropped(family, sets)
     return labels
 
