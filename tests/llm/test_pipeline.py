@@ -57,3 +57,16 @@ def test_stage_cases(spark, tmp_path, stage):
     else:
         assert sorted(map(str, (r["doc_id"] for r in out))) == sorted(str(r[0]) for r in rows) and all(tuple(r)[5:] == extra for r in out)
     assert f(spark, table(spark, [], schema), str(tmp_path)).count() == 0
+
+
+def test_near_copies_tied_by_one_link(spark, tmp_path):
+    """Pairs of families of 100 texts, tied by one link of exactly 0.8 in five-word shingles among 9,999 pairs below: one
+    document of each pair stays."""
+    rows = []
+    for f in range(4):
+        for side in range(2):
+            for k in range(100):
+                words = [f"c{f}_{i}" for i in range(164)] + [f"p{f}_{side}_{i}" for i in range(20)] + [f"u{len(rows)}"] * (k != 50)
+                rows.append((len(rows), " ".join(words)))
+    kept = corpus_pipeline.drop_near_copies(spark, table(spark, rows), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 200, 400, 600]
