@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from framequery.llm.bloom import filter_bits, tested
 from framequery.llm.common import dropped, hot_join, lean, shielded, written
-from framequery.llm.components import components
+from framequery.llm.components import components, extended
 
 #: Trees, and the minima that no other tree starts with.
 TREES, OWN = 32, 4
@@ -380,14 +380,18 @@ def rest_links(marks: DataFrame, labels: DataFrame, docs: DataFrame, width: int,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = written(marks.distinct(), "marks", few=True)
     hubs = marks.groupBy("region").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    tied = hot_join(marks, hubs, "region", "size", marks.count()).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    groups = components(tied).select("node", F.col("comp").alias("group"))
+    # a row lies in a few regions of each tree: the least of their hubs stands for it, and only hubs are linked with hubs
+    tied = hot_join(marks, hubs, "region", "size", marks.count()).groupBy("rep").agg(F.min("hub").alias("hub"), F.collect_set("hub").alias("hubs"))
+    tied = written(tied, "tied", few=True)
+    ends = components(tied.select(F.col("hub").alias("a"), F.explode("hubs").alias("b")))
+    groups = tied.join(ends.withColumnRenamed("node", "hub").hint("merge"), "hub", "left").select(F.col("rep").alias("node"), F.coalesce("comp", "hub").alias("group"))
     members = groups.join(labels.hint("merge"), "node", "left").select(F.col("node").alias("doc_id"), "group", F.coalesce("comp", "node").alias("comp"))
     shares = members.groupBy("group", "comp").count()
     several = shares.groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("group", "main", "size")
     several = written(several, "groups", few=True)
     dropped(marks)
     if not several.limit(1).count():
+        dropped(tied)
         return None
     total = several.agg(F.sum("size")).first()[0]
     own = written(hot_join(members, several, "group", "size", total).select("doc_id", "group", "comp", (F.col("comp") == F.col("main")).alias("inner")), "members", few=True)
@@ -403,7 +407,7 @@ def rest_links(marks: DataFrame, labels: DataFrame, docs: DataFrame, width: int,
     kind = dict(labels.dtypes)["comp"]
     dealt = dealt.select("group", "i", "j", "block", "comp", "s").repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
     out = written(dealt.mapInArrow(lambda it: _joined(it, percent), f"a {kind}, b {kind}"), "links", few=True)
-    dropped(several, own, sets, rows)
+    dropped(tied, several, own, sets, rows)
     return out
 
 
@@ -424,6 +428,7 @@ def forest_links(reps: DataFrame, docs: DataFrame, width: int, percent: int) ->
     sets = full_sets(tried.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width)
     links = written(confirmed(tried, sets, percent).distinct(), "links", few=True)
     labels, left = components(links), beyond
+    dropped(links)
     family = written(reps.join(sets.select(F.col("doc_id").alias("rep")).distinct().hint("merge"), "rep", "left_semi"), "family")
     for k, reach in enumerate(REACH[1:], 2):
         named = family.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -432,12 +437,11 @@ def forest_links(reps: DataFrame, docs: DataFrame, width: int, percent: int) ->
         more = more.join(tried.hint("merge"), ["a", "b"], "left_anti")
         new = written(confirmed(more, sets, percent).distinct(), "links", few=True)
         if new.limit(1).count():
-            links, tried = written(links.unionByName(new), "links", few=True), tried.unionByName(more)  # not dropped: read by the next round
-            labels = components(links)
+            labels, tried = extended(labels, new), tried.unionByName(more)
     if left.limit(1).count():
         new = rest_links(left, labels, docs, width, percent)
         if new is not None and new.limit(1).count():
-            labels = components(links.unionByName(new))
+            labels = extended(labels, new)
     dropped(family, sets)
     return labels
 

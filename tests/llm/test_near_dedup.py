@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from cases import folder, table
 
-from framequery.llm.components import components
+from framequery.llm.components import components, extended
 from framequery.llm import near_dedup as forest
 from framequery.llm.near_dedup import HASHES, ORDERS, OWN, SLACK, TREES, deduplicated, near_dedup, op7_minhash_near_dedup, shingles, signature
 
@@ -93,6 +93,49 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 50: 50, 55: 50, 60: 50}
 
 
+def joined_rows(spark, f):
+    """The rows that all joins of the queries run by f put out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    f()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    n = 0
+    for i in range(before, store.executionsCount()):
+        run = store.executionsList(i, 1).head().executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for k in range(nodes.size()):
+            metrics = nodes.apply(k).metrics()
+            for m in range(metrics.size()):
+                at = metrics.apply(m).accumulatorId()
+                if "Join" in nodes.apply(k).name() and metrics.apply(m).name() == "number of output rows" and values.contains(at):
+                    n += int(values.apply(at).replace(",", ""))
+    return n
+
+
+def test_components_read_links_once(spark):
+    """A large family with many links for each text: joins put out little more than each link's two ends, not all links again
+    in every round."""
+    rng = random.Random(6)
+    rows = list({(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(6000)) if a < b} | {(i, i + 1) for i in range(299)})
+    links = table(spark, rows, "a long, b long")
+    found = []
+    n = joined_rows(spark, lambda: found.extend(components(links).collect()))
+    assert {r["node"]: r["comp"] for r in found} == dict.fromkeys(range(300), 0)
+    assert 0 < n < 3 * len(rows) + 3000
+
+
+def test_further_links(spark):
+    """Random links in two parts, the second between, inside and beyond the components of the first."""
+    rng = random.Random(1)
+    rows = [(a, b) for a, b in ((rng.randrange(200), rng.randrange(200)) for _ in range(190)) if a != b]
+    low = list(range(200))
+    for _ in range(200):
+        for a, b in rows:
+            low[a] = low[b] = min(low[a], low[b])
+    labels = extended(components(table(spark, rows[:120], "a long, b long")), table(spark, rows[120:], "a long, b long"))
+    assert {r["node"]: r["comp"] for r in labels.collect() if r["node"] != r["comp"]} == {x: c for x, c in enumerate(low) if x != c}
+
+
 def test_trees_start_with_minima_of_their_own():
     assert len(np.unique(ORDERS[:, :OWN])) == TREES * OWN and all(len(set(o)) == len(o) for o in ORDERS.tolist())
 
