@@ -19,7 +19,7 @@ of marked rows of different components are compared on full sets (``rest_links``
 that shares a region and looks alike is either in one component already or compared in full.
 
 What can be missed: a pair at similarity 0.8 shares no region in any tree with a chance of about 1 in 20 million, and
-its signatures look too unlike (SLACK) with one of about 1 in 300,000, if the minima are independent. Equal 64-bit
+its signatures look too unlike (SLACK) with one of about 1 in 55,000, if the minima are independent. Equal 64-bit
 shingle hashes count as equal shingles.
 
 Defined cases: null, empty or wordless text has an empty set and is linked with nothing; null ids are linked with
