@@ -9,11 +9,13 @@ within groups of one gram. About one place in ten (words) or thirty-five (bytes)
 2. Anchors meet by gram, sorted by (gram, context, document, place). Those whose context occurred before are settled:
    every window through them is a repeat. First contexts of a gram that has several are undecided: they agree around
    the gram and differ further out. Grams of one context are unique. This is a stream with a state of one row.
-3. Undecided anchors fetch their context from the text and meet by gram again. Each is
+3. Undecided anchors fetch their context from the text and meet by gram again. There windows are told apart by the two
+   orders of their contexts, from the gram on and from it backwards (``late_windows``). With a ``solver`` each is instead
    trimmed to the longest stretches before and behind the gram that another shares (what is further out repeats nowhere);
-   of equal trimmed contexts all but the earliest are repeats, and those shorter than ``window`` hold none. Of the rest a
-   ``solver`` finds the windows that start earlier, for groups of whole grams, STEP contexts or one gram at a time. A gram with more than GROUP contexts
-   is dealt on by a longer prefix, the whole window (128 bits of hash), to an aggregation with a combine.
+   of equal trimmed contexts all but the earliest are repeats, and those shorter than ``window`` hold none. Of the rest the
+   solver finds the windows that start earlier, for groups of whole grams, STEP contexts or one gram at a time. A gram
+   with GROUP contexts or more is dealt on by a longer prefix, the whole window (128 bits of hash), to an aggregation with
+   a combine; of equal windows that are held at once only the first is.
 4. The spans of each document are merged and cut out.
 
 Texts are shuffled only for the documents that have undecided anchors (3) or spans (4), behind Bloom filters.
@@ -35,6 +37,8 @@ from framequery.llm.common import dropped, lean, written
 
 CHUNK_BYTES = 1 << 20
 GROUP, STEP = 20_000, 1500
+#: Contexts in one Arrow batch.
+FETCHED = 8192
 BASE = 0x5851F42D4C957F2D
 SECOND = 0x9FB21C651E98DF25
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -190,21 +194,36 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fetch_contexts(batches: Iterator[pa.RecordBatch], units: Callable, pack: Callable, window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(id, text, anchors) -> a row for each undecided anchor: gram, doc, start of the context, the gram's place in it, its
     units packed."""
+    none = [np.empty(0, np.int64)] * 4 + [[]]
+
+    def rows(held):
+        grams, docs, starts, places = (np.concatenate(x) for x in zip(*(h[:4] for h in held), strict=True))
+        data = pa.array([x for h in held for x in h[4]], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(docs), pa.array(starts.astype(np.int32)), pa.array(places.astype(np.int32)), data], ["gram", "doc", "start", "place", "units"])
+
+    held, size = [none], 0
     for b in batches:
-        for r in range(b.num_rows):
-            text, found = b.column(1)[r].as_py(), b.column(2)[r].as_py()
-            if not text or not found:
+        found = b.column(2)
+        place, gram_of = (found.flatten().field(x).to_numpy().astype(np.int64) for x in ("place", "gram"))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+        for r, (doc, end) in enumerate(zip(b.column(0).to_pylist(), ends.tolist(), strict=True)):
+            begin = int(ends[r - 1]) if r else 0
+            text = b.column(1)[r].as_py()
+            if not text or begin == end:
                 continue
             u = pack(units(text, plain=True))
-            n, grams, starts, places, data = len(u), [], [], [], []
-            for x in found:
-                if x["place"] + gram <= n:
-                    lo, hi = max(0, x["place"] - (window - gram)), min(n, x["place"] + window)
-                    grams.append(x["gram"])
-                    starts.append(lo)
-                    places.append(x["place"] - lo)
-                    data.append(u[lo:hi].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array([b.column(0)[r].as_py()] * len(grams), pa.int64()), pa.array(starts, pa.int32()), pa.array(places, pa.int32()), pa.array(data, pa.binary())], ["gram", "doc", "start", "place", "units"])
+            raw, item = u.tobytes(), u.dtype.itemsize
+            for i in range(begin, end, FETCHED):
+                at, g = place[i : min(i + FETCHED, end)], gram_of[i : min(i + FETCHED, end)]
+                at, g = at[at + gram <= len(u)], g[at + gram <= len(u)]
+                lo, hi = np.maximum(at - (window - gram), 0), np.minimum(at + window, len(u))
+                held.append([g, np.full(len(at), doc), lo, at - lo, [raw[x:y] for x, y in zip((lo * item).tolist(), (hi * item).tolist(), strict=True)]])
+                size += len(at)
+                if size >= FETCHED:
+                    yield rows(held)
+                    held, size = [none], 0
+    if size:
+        yield rows(held)
 
 
 def repeats_of(classes: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,13 +234,74 @@ def repeats_of(classes: np.ndarray, doc: np.ndarray, place: np.ndarray, window:
     sorted_class, sorted_when = classes[order], when[order]
     first = np.flatnonzero(np.append(True, sorted_class[1:] != sorted_class[:-1]))
     least = np.repeat(np.minimum.reduceat(sorted_when, first), np.diff(np.append(first, len(order))))
-    late = np.unique(sorted_when[sorted_when > least])
-    if not len(late):
-        return doc[:0], place[:0], place[:0]
-    head = np.append(True, (late[1:] - late[:-1] > window))  # spans that touch are one; another document is far away
+    return joined(docs, sorted_when[sorted_when > least], window)
+
+
+def joined(docs: np.ndarray, when: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans (doc, from, to) that stretches of ``length`` make together. when: index of the document << 32 | start."""
+    when = np.unique(when)
+    if not len(when):
+        return docs[:0], when, when
+    head = np.append(True, when[1:] - when[:-1] > length)  # spans that touch are one; another document is far away
     tail = np.append(head[1:], True)
-    at = late & 0xFFFFFFFF
-    return docs[(late[head] >> 32)], at[head], at[tail] + window
+    at = when & 0xFFFFFFFF
+    return docs[when[head] >> 32], at[head], at[tail] + length
+
+
+def late_windows(units: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray, grams: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """For each context, and each number k of units before its gram, whether the window from there is also that of an
+    earlier context of the gram.
+
+    A window is its k units before the gram, and the rest. So the contexts are sorted twice, by gram and what follows
+    from it on, and by what precedes it, read backwards; the longest common prefixes of neighbours bound the interval of
+    contexts that agree to a depth. Two windows are equal if they lie in the same interval of each order, which leaves
+    one number to sort for each window, in place of a suffix for each unit."""
+    reach, n = window - gram, len(grams)
+    late = np.zeros((n, reach + 1), bool)
+    at, slots = begin + place, np.arange(n)
+    if units.dtype == np.uint8:
+        units = units + np.uint8(1)  # zeros fill up short stretches; no window that is compared reaches into them
+    units = np.pad(units, window)
+
+    def sorted_by(side: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order, how far each agrees with the one before it in that order, and with any other."""
+        width = side.shape[1]
+        side = np.where(np.arange(width) < room[:, None], side, units.dtype.type(0))
+        key = np.concatenate([grams.astype(">i8").view(np.uint8).reshape(n, 8), side.view(np.uint8).reshape(n, -1)], axis=1)
+        order = np.argsort(key.view(f"S{key.shape[1]}")[:, 0])
+        one = side[order]
+        differ = np.ones((n - 1, width + 1), bool)
+        np.not_equal(one[1:], one[:-1], out=differ[:, :width])
+        common = np.append(-1, np.where(grams[order[1:]] == grams[order[:-1]], differ.argmax(axis=1), -1))
+        most = np.empty(n, np.int64)
+        most[order] = np.maximum(common, np.append(common[1:], -1))
+        return order, common, np.minimum(most, room)
+
+    by_before, common_before, before = sorted_by(np.lib.stride_tricks.sliding_window_view(units, reach)[at + gram, ::-1], place)
+    by_behind, common_behind, behind = sorted_by(np.lib.stride_tricks.sliding_window_view(units, window)[at + window], end - at)
+
+    def intervals(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+        """Of each context, where its interval of this depth begins."""
+        out = np.empty(n, np.int64)
+        out[order] = np.maximum.accumulate(np.where(common < depth, slots, 0))
+        return out
+
+    rows = np.lexsort((start + place, doc))  # the earliest first; rows of one place of one document are one
+    when = np.empty(n, np.int64)
+    when[rows] = np.cumsum(np.append(True, (np.diff(doc[rows]) != 0) | (np.diff((start + place)[rows]) != 0)))
+    bits = n.bit_length()
+    for k in range(reach + 1):
+        some = rows[(before[rows] >= k) & (behind[rows] >= window - k)]
+        if len(some) < 2:
+            continue
+        pair = intervals(by_before, common_before, k)[some] << bits | intervals(by_behind, common_behind, window - k)[some]
+        if 3 * bits > 63:
+            pair = np.unique(pair, return_inverse=True)[1]
+        key = np.sort(pair << bits | np.arange(len(some)))
+        own, pair = some[key & ((1 << bits) - 1)], key >> bits
+        head = np.append(True, pair[1:] != pair[:-1])
+        late[own, k] = when[own] > when[own[np.maximum.accumulate(np.where(head, np.arange(len(own)), 0))]]
+    return late
 
 
 def trimmed(units: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray, grams: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,9 +338,10 @@ def window_hashes(units: np.ndarray, at: np.ndarray, window: int) -> tuple[np.nd
     return mix(first), mix(second)
 
 
-def decide(batches: Iterator[pa.RecordBatch], solver: Callable, dtype, window: int, gram: int) -> Iterator[pa.RecordBatch]:
+def decide(batches: Iterator[pa.RecordBatch], solver: Callable | None, dtype, window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by gram -> spans (doc, lo, hi, null, null), or single windows (doc, lo, hi, and two hashes) of a
-    gram that has too many contexts to be held."""
+    gram that has too many contexts to be held: the first of each kind among those held at once, the others are spans.
+    Without a ``solver`` windows are told apart by ``late_windows``."""
 
     def rows(spans, hashes=None):
         d, lo, hi = spans
@@ -277,12 +358,29 @@ def decide(batches: Iterator[pa.RecordBatch], solver: Callable, dtype, window: i
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return units, np.repeat(begin, n) + offset, np.repeat(part["doc"].to_numpy(), n), np.repeat(part["start"].to_numpy(), n).astype(np.int64) + offset
 
+    def laid(part):
+        """Units end to end, where each context begins and ends in them, its gram's place, gram and document."""
+        units = np.frombuffer(b"".join(part["units"].to_pylist()), dtype)
+        end = np.cumsum(pc.binary_length(part["units"]).to_numpy().astype(np.int64)) // units.itemsize
+        return units, np.append(0, end[:-1]), end, part["place"].to_numpy().astype(np.int64), part["gram"].to_numpy(), part["doc"].to_numpy()
+
+    def late_of(part):
+        """late_windows of the contexts, and the spans that these windows make."""
+        units, begin, end, place, grams, doc = laid(part)
+        start = part["start"].to_numpy().astype(np.int64)
+        late = late_windows(units, begin, end, place, grams, doc, start, window, gram)
+        row, k = np.nonzero(late)
+        docs, code = np.unique(doc, return_inverse=True)
+        return late, joined(docs, code[row] << 32 | (start + place)[row] - k, window)
+
     def solve(part):
         """Whole grams, the distinct trimmed contexts about STEP at a time."""
-        arrays = [np.frombuffer(x, dtype) for x in part["units"].to_pylist()]
-        end = np.cumsum(np.fromiter(map(len, arrays), np.int64, len(arrays)))
-        begin = np.append(0, end[:-1])
-        units, place, grams, doc = np.concatenate(arrays), part["place"].to_numpy().astype(np.int64), part["gram"].to_numpy(), part["doc"].to_numpy()
+        if solver is None:
+            spans = late_of(part)[1]
+            if len(spans[0]):
+                yield rows(spans)
+            return
+        units, begin, end, place, grams, doc = laid(part)
         before, behind = trimmed(units, begin, end, place, grams, window, gram)
         lo, size = place - before, before + gram + behind
         start = part["start"].to_numpy() + lo
@@ -319,10 +417,20 @@ def decide(batches: Iterator[pa.RecordBatch], solver: Callable, dtype, window: i
                     yield rows(spans)
 
     def loose(part):
+        if not part.num_rows:
+            return
+        late, spans = late_of(part)
+        if len(spans[0]):
+            yield rows(spans)
         for i in range(0, part.num_rows, STEP):
-            units, at, doc, place = windows(part.slice(i, STEP))
+            some = part.slice(i, STEP)
+            units, at, doc, lo = windows(some)
+            n = np.maximum(pc.binary_length(some["units"]).to_numpy() // units.itemsize - window + 1, 0)
+            row = np.repeat(np.arange(some.num_rows), n)
+            first = ~late[i + row, (some["start"].to_numpy() + some["place"].to_numpy())[row] - lo]
+            at, doc, lo = at[first], doc[first], lo[first]
             if len(at):
-                yield rows((doc, place, place + window), window_hashes(units, at, window))
+                yield rows((doc, lo, lo + window), window_hashes(units, at, window))
 
     held: pa.Table | None = None
     crowded = None
