@@ -8,7 +8,8 @@ within groups of one gram. About one place in ten (words) or thirty-five (bytes)
    this anchor can reach. Anchors equal in gram and context to an earlier one in the same task are settled at once.
 2. Anchors meet by gram, sorted by (gram, context, document, place). Those whose context occurred before are settled:
    every window through them is a repeat. First contexts of a gram that has several are undecided: they agree around
-   the gram and differ further out. Grams of one context are unique. This is a stream with a state of one row.
+   the gram and differ further out. Grams of one context are unique. This is a stream with a state of one row; its rows
+   go straight to an aggregation by document, and the documents are written.
 3. Undecided anchors fetch their context from the text and meet by gram again. There windows are told apart by the two
    orders of their contexts, from the gram on and from it backwards (``late_windows``). With a ``solver`` each is instead
    trimmed to the longest stretches before and behind the gram that another shares (what is further out repeats nowhere);
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from framequery.llm.bloom import filter_bits, tested
 from framequery.llm.memo import grouped
-from framequery.llm.common import dropped, lean, written
+from framequery.llm.common import lean, written
 
 CHUNK_BYTES = 1 << 20
 GROUP, STEP = 20_000, 1500
@@ -467,22 +468,33 @@ def repeated_spans(docs: DataFrame, units: Callable, pack: Callable, dtype: str,
     own = docs.where(F.col("doc").isNotNull() & (F.length("text") >= window))
     anchors = own.select("doc", "text").mapInArrow(lambda it: find_anchors(it, units, window, gram), "gram long, context long, doc long, place int, settled boolean")
     by_gram = anchors.repartition(parts, "gram").sortWithinPartitions("gram", "context", "doc", "place")
-    found = written(by_gram.mapInArrow(match_anchors, "doc long, place int, gram long, settled boolean"), "anchors")
-    open_ = written(found.where(~F.col("settled")).groupBy("doc").agg(F.collect_set(F.struct("place", "gram")).alias("anchors")), "open", few=True)
+    found = by_gram.mapInArrow(match_anchors, "doc long, place int, gram long, settled boolean")
+    of_doc = [F.collect_set(F.when(~F.col("settled"), F.struct("place", "gram"))).alias("anchors"), F.collect_list(F.when(F.col("settled"), F.col("place"))).alias("places")]
+    by_doc = written(found.groupBy("doc").agg(*of_doc), "anchors", few=True)
+    open_ = by_doc.where(F.size("anchors") > 0).select("doc", "anchors")
     some = tested(own, "doc", open_, filter_bits(open_.count())).where("maybe").select("doc", "text")
     met = some.join(open_.hint("merge"), "doc")
     contexts = met.mapInArrow(lambda it: fetch_contexts(it, units, pack, window, gram), "gram long, doc long, start int, place int, units binary")
     sorted_contexts = contexts.repartition(parts, "gram").sortWithinPartitions("gram")
-    decided = written(sorted_contexts.mapInArrow(lambda it: decide(it, solver, dtype, window, gram), "doc long, lo int, hi int, hash long, hash2 long"), "decided")
-    dropped(open_)
+    decided = written(sorted_contexts.mapInArrow(lambda it: decide(it, solver, dtype, window, gram), "doc long, lo int, hi int, hash long, hash2 long"), "decided", few=True)
     crowd = decided.where(F.col("hash").isNotNull())
     first = crowd.groupBy("hash", "hash2").agg(F.min(F.struct("doc", "lo")).alias("first"))
     late = crowd.join(first.hint("merge"), ["hash", "hash2"]).where(F.struct("doc", "lo") > F.col("first")).select("doc", "lo", "hi")
-    settled = found.where("settled").select("doc", (F.col("place") - (window - gram)).alias("lo"), (F.col("place") + window).alias("hi"))
+    settled = by_doc.where(F.size("places") > 0).select("doc", "places").mapInArrow(lambda it: settled_spans(it, window, gram), "doc long, lo int, hi int")
     spans = settled.unionByName(decided.where(F.col("hash").isNull()).select("doc", "lo", "hi")).unionByName(late)
     return spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
+def settled_spans(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(doc, places of repeated anchors) -> spans (doc, lo, hi) covered by the windows through them; they may leave the text."""
+    reach = window - gram
+    for b in batches:
+        place = b.column(1).flatten().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy())
+        docs, lo, hi = joined(b.column(0).to_numpy(), row << 32 | place, reach + window)
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array((lo - reach).astype(np.int32)), pa.array((hi - reach).astype(np.int32))], ["doc", "lo", "hi"])
+
+
 def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
     """Spans within [0, n), sorted, those that touch or overlap joined."""
     out: list[tuple[int, int]] = []

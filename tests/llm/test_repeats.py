@@ -10,6 +10,7 @@ import pytest
 from cases import docs, folder, table
 
 from framequery.llm import repeats, suffix_array, suffix_trees
+from framequery.llm.common import written
 from framequery.llm.suffix_array import intervals, op6_suffix_array_dedup, suffix_array_dedup
 from framequery.llm.suffix_trees import inner_nodes, nodes, op1_substring_dedup, substring_dedup, suffixes
 
@@ -234,3 +235,17 @@ def test_contexts_of_one_gram_are_decided_in_little_memory():
     got = places(out)
     assert all(got[d] == set(range(168)) for d in range(1, 6000, 2))
     assert most < 20 * u.size
+
+
+def test_intermediate_tables_are_few_files(spark, tmp_path, monkeypatch):
+    """Each file that a JVM makes starts programs, which show its memory twice. Failed before: a file for each partition."""
+    made = []
+    monkeypatch.setattr(repeats, "written", lambda df, name, few=False: made.append((name, out := written(df, name, few))) or out)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df, _ = docs(spark, 9, 200)
+        assert suffix_array_dedup(df, window=20, gram=6).where("n_removed > 0").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = {name: len(out.inputFiles()) for name, out in made}
+    assert set(files) == {"anchors", "decided", "spans"} and max(files.values()) <= 8
