@@ -35,3 +35,9 @@ EDGES = ["2024-01-01 00:59:59.999499", "2024-01-01 00:59:59.999500", "2024-01-01
 def test_bars_by_the_hour_take_times_to_the_nearest_millisecond(spark, events, kind):
     got, want = both(spark, "by_xbar_time", events([("view", t, float(i)) for i, t in enumerate(EDGES)], kind))
     assert got == want and [r[2] for r in got] == [1, 4]
+
+
+def test_bars_of_rows_take_times_to_the_nearest_millisecond(spark, events):
+    got, want = both(spark, "set_xbar", events([("view", t, 1.0) for t in EDGES]))
+    first = 28401175
+    assert got == want == [(0, first), *((i, first + 5) for i in range(1, 5))]
