@@ -41,3 +41,10 @@ def test_bars_of_rows_take_times_to_the_nearest_millisecond(spark, events):
     got, want = both(spark, "set_xbar", events([("view", t, 1.0) for t in EDGES]))
     first = 28401175
     assert got == want == [(0, first), *((i, first + 5) for i in range(1, 5))]
+
+
+def test_tolerance_takes_times_to_the_nearest_millisecond(spark, events):
+    """Two hours and 0.6 ms are 1 ms too many, two hours and 0.4 ms are not."""
+    seen = [("view", "2024-01-01 08:00:00", 1.0), ("purchase", "2024-01-01 10:00:00.000600", 2.0), ("view", "2024-01-02 08:00:00", 3.0), ("purchase", "2024-01-02 10:00:00.000400", 4.0)]
+    got, want = both(spark, "join_asof_time_index", events(seen))
+    assert got == want and [r[4] for r in got] == [None, 2]
