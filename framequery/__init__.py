@@ -7,7 +7,7 @@ from framequery.operators.joins import Report, asof_indices, asof_row_indices, a
 from framequery.operators.query import NOT_NUMERICAL, NUMERICAL, asc, between, desc, dt, pass_nil, prepare_grouping, qtile, rename, reset_notes, row_numbered, typed, without, xbar
 from framequery.operators.reshape import cast, melt
 from framequery.operators.tidy import clean_column_names, coerce_columns, describe, drop_constant_columns, duplicate_rows, mark_duplicates
-from framequery.sources.files import from_rows, read, read_seq, write
+from framequery.sources.files import from_rows, read, read_pieces, read_seq, write
 
 N = agg("N")
 

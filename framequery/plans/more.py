@@ -17,7 +17,7 @@ from framequery.plans.joins import HOUR, SIDES, sides
 from framequery.plans.registry import query, rounded, table
 from framequery.plans.windows import GAPPY, UP, gappy, over_users
 from framequery.plans.windows import W as BY_USER
-from framequery.sources.files import extension, from_rows, read, read_seq, write
+from framequery.sources.files import extension, from_rows, read, read_pieces, read_seq, write
 from framequery.sources.scratch import shared_folder
 from framequery.streaming.bars import stream_dt
 
@@ -120,14 +120,12 @@ def file_pieces_parquet(spark, d):
 
 @query("SELECT count(*) AS n, sum(c_custkey)::BIGINT AS keys, (count(*) + 99) // 100 AS pieces FROM customer")
 def file_pieces_lines(spark, d):
+    """Each piece by itself, all of them in one job."""
     path = place(spark, "t.jsonl")
     _folder(spark, path.rsplit("/", 1)[0])
     write(table(spark, d, "customer"), path)
-    n = keys = pieces = 0
-    for piece in read_seq(spark, path, batch_size=100):
-        got = piece.agg(F.count("*").alias("n"), F.sum("c_custkey").alias("k")).first()
-        n, keys, pieces = n + got["n"], keys + got["k"], pieces + 1
-    return from_rows(spark, {"n": [n], "keys": [keys], "pieces": [pieces]}, "n bigint, keys bigint, pieces bigint")
+    each = read_pieces(spark, path, batch_size=100).groupBy("piece").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.sum("keys").alias("keys"), F.count("*").alias("pieces"))
 
 
 @query("SELECT * FROM (VALUES ('a.csv', 'csv'), ('b/c.TSV.gz', 'tsv'), ('d.ndjson', 'ndjson'), ('none', NULL)) t(path, ext)")

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framequery.errors import DtError
 from framequery.lower import RID, quoted
+from framequery.sources.scratch import written
 
 READS = ("csv", "tsv", "json", "jsonl", "ndjson", "parquet", "arrow", "feather", "xlsx", "xls")
 WRITES = tuple(x for x in READS if x != "xls")
@@ -95,16 +97,24 @@ def _arrow_table(path: str):
         return (pa.ipc.open_file(f) if head == b"ARROW1" else pa.ipc.open_stream(f)).read_all()
 
 
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a JSON Lines file, in its order; blank lines are none."""
+    schema = read(spark, path).schema
+    return spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", schema).alias("v")).select("v.*")
+
+
 def read_seq(spark: SparkSession, path: str, *, batch_size: int = CHUNK, **options: Any) -> Iterator[DataFrame]:
-    """The file in pieces: Parquet by row groups, JSON Lines by ``batch_size`` rows, JSON whole. Each piece is a table."""
+    """The file in pieces: Parquet by row groups, JSON Lines by ``batch_size`` rows, JSON whole. Each piece is a table.
+
+    An action on each piece is a Spark job of its own; ``read_pieces`` gives those of JSON Lines as one table.
+    """
     ext = extension(path)
     if ext == "json":
         yield read(spark, path, **options)
         return
     if ext in ("jsonl", "ndjson"):
-        size, schema = max(1, int(batch_size)), read(spark, path).schema
-        rows = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", schema).alias("v")).select("v.*")
-        held = []
+        size, rows, held = max(1, int(batch_size)), _json_lines(spark, path), []
+        schema = rows.schema
         for r in rows.toLocalIterator(prefetchPartitions=True):
             held.append(r)
             if len(held) == size:
@@ -122,6 +132,29 @@ def read_seq(spark: SparkSession, path: str, *, batch_size: int = CHUNK, **optio
         yield _pruned(spark.createDataFrame(f.read_row_group(i)), options)
 
 
+def read_pieces(spark: SparkSession, path: str, *, batch_size: int = CHUNK, piece: str = "piece", **options: Any) -> DataFrame:
+    """The pieces that ``read_seq`` makes of a JSON Lines file, together: its rows, with the number of their piece from 0 on.
+
+    However many pieces there are, one job groups by them. The rows are written to the shared folder first, so that
+    their numbers are the same whatever is read again.
+    """
+    ext = extension(path)
+    if ext not in ("jsonl", "ndjson"):
+        raise _unsupported(ext, ("jsonl", "ndjson"))
+    rows = _pruned(_json_lines(spark, path), options)
+    if piece in rows.columns:
+        raise DtError("duplicate-column", f"the file has a column {piece}", column=piece)
+    kept = rows.columns
+    rows = written(rows.withColumn(RID, F.monotonically_increasing_id()), "pieces")
+    # an id is the partition's number times 2^33 plus the row's place in it; one row a partition tells how many stand before
+    rows = rows.withColumn("__part", F.shiftright(RID, 33))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = F.col("__before") + quoted(RID) % (1 << 33)
+    number = F.call_function("div", place, F.lit(max(1, int(batch_size))))
+    return rows.join(F.broadcast(before), "__part").select(*map(quoted, kept), number.alias(piece))
+
+
 def write(df: DataFrame, path: str, *, separator: str | None = None, single: bool = True, **options: Any) -> None:
     """One file of that name; ``single=False`` writes a folder of part files instead, in parallel, which is what large
     tables need. Arrow and spreadsheet files are written by the driver."""
